@@ -111,7 +111,7 @@ def bullets(r):
     mark = r.choice(["- ", "* ", "+ ", "• ", "- [ ] ", "- [x] "])
     if r.random() < 0.3:  # few items, many times
         items = [fill(r, "{a} {w}") for _ in range(r.randint(4, 12))]
-        return "\n".join(" " * r.choice([0, 0, 4, 8]) + mark + r.choice(items) for _ in rows(r, 10))
+        return "\n".join(" " * r.choice([0, 0, 4, 8]) + mark + r.choice(items) for _ in rows(r, 10, r.choice([30, 120])))
     return "\n".join(" " * r.choice([0, 0, 0, 2, 4, 8]) + mark + fill(r, r.choice(["{a} {w}", "{w}", "Plot the {w}", "{w} {w}", "{w} ({n})", "the {w} of the {w}", "{w} and {a} {w}"])) for _ in rows(r))
 
 
