@@ -44,12 +44,13 @@ COUNTS = {
     "letters": r"char_length(regexp_replace(b, '\\P{L}+', ''))",
     "digits": "char_length(b) - char_length(translate(b, '0123456789', ''))",
     "words": r"size(split(b, '\\s+'))",
+    "cells": r"size(split(b, '</?t[drh]\\b|\\\\\\\\(?=\\s|$)|\\|(?=[ -])|(?<=[ -])\\|')) - 1",
     "stops": rf"size(split(lower(b), '\\b(?:{'|'.join(COMMON)})\\b')) - 1",
 }
 FEATURES = {
     "line_len": "chars / lines",
-    "word_len": "n / words",
-    "line_words": "words / lines",
+    "word_len": "n / (words + cells)",
+    "line_words": "(words + cells) / lines",
     "letter_share": "letters / n",
     "digit_share": "digits / n",
     "symbol_share": "(n - letters - digits) / n",
@@ -63,7 +64,7 @@ FEATURES = {
     "separators": r"(chars - char_length(translate(b, ',;&\t', ''))) / words",
     "gaps": r"(size(split(b, '(?<=\\S)(?: {2,}|\\t)(?=\\S)')) - 1) / lines",
     "tags": "(chars - char_length(translate(b, '<>', ''))) / lines",
-    "cell_marks": r"(size(split(b, '</?t[drh]\\b|\\\\\\\\(?=\\s|$)|\\|(?=[ -])|(?<=[ -])\\|')) - 1) / lines",
+    "cell_marks": "cells / lines",
     "brackets": "(chars - char_length(translate(b, '()[]{}=', ''))) / n",
     "rule_share": "(chars - char_length(translate(b, '=-~#*_+.', ''))) / n",
     "latin_share": r"(chars - char_length(regexp_replace(b, '[\\u0080-\\u00ff\\u20ac\\u2122\\u0153\\u0178\\ufffd]+', ''))) / n",
@@ -86,6 +87,12 @@ def with_statistics(blocks: DataFrame) -> DataFrame:
 _fitted: dict[tuple, list[Rule]] = {}
 
 
+def _varied(x: np.ndarray, labels: np.ndarray, rng: np.random.Generator, times: int = 3, spread: float = 0.2) -> tuple[np.ndarray, np.ndarray]:
+    """The examples and copies whose statistics vary at random, so that no threshold clings to one of them."""
+    copies = [x, *(x * np.exp(rng.normal(0, spread, x.shape)) for _ in range(times - 1))]
+    return np.concatenate(copies), np.concatenate([labels] * times)
+
+
 def fitted_rules(spark: SparkSession, seed: int = 11, per_family: int = quality_examples.FAMILY) -> list[Rule]:
     """The rules, induced once per process. The driver gets the examples' statistics: 2 * per_family rows per family."""
     key = (seed, per_family)
@@ -94,8 +101,9 @@ def fitted_rules(spark: SparkSession, seed: int = 11, per_family: int = quality_
         rows = with_statistics(spark.createDataFrame(made, "k int, b string, label string")).orderBy("k").collect()
         names = list(FEATURES)
         x, labels, held = np.array([[r[f] for f in names] for r in rows], float), [r.label for r in rows], np.array([r.k >> 20 != seed for r in rows])
-        test = (x[held], [y for y, h in zip(labels, held, strict=True) if h])
-        _fitted[key] = select(x[~held], [y for y, h in zip(labels, held, strict=True) if not h], names, ORDERS, test)
+        labels = np.array(labels, object)
+        train, test = (_varied(x[m], labels[m], np.random.default_rng(seed)) for m in (~held, held))
+        _fitted[key] = select(train[0], list(train[1]), names, ORDERS, (test[0], list(test[1])))
     return _fitted[key]
 
 

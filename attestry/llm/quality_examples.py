@@ -10,11 +10,12 @@ from __future__ import annotations
 import base64
 import random
 
-FAMILY = 60
+FAMILY = 90
 
 WORDS = (
     "river station budget member garden winter council engine letter market bridge school window forest travel painter signal camera village doctor paper "
-    "supply method result sample record series threshold baseline feature order voucher ticket sensor ledger policy route cell label frame column index"
+    "supply method result sample record series threshold baseline feature order voucher ticket sensor ledger policy route cell label frame column index "
+    "reservation certificate measurement subscription laboratory schedule reminder shipment transfer catalog oak fox pen sea gauge"
 ).split()
 ADJECTIVES = "old large early missing quiet noisy rough simple shared weekly hidden useful stable careful slow recent".split()
 PROSE = (
@@ -58,7 +59,7 @@ def rows(r: random.Random, lo: int = 2, hi: int | None = None) -> range:
 
 
 def _number(r: random.Random) -> str:
-    return r.choice([str(r.randrange(9999)), f"{r.random() * 900:.{r.randint(2, 4)}f}", f"{r.random():.3f}", "NaN", "null", ""])
+    return r.choice([str(r.randrange(9999)), str(r.randrange(9999)), f"{r.random() * 900:.{r.randint(2, 4)}f}", f"{r.random():.3f}", "NaN", "null", ""])
 
 
 def _cell(r: random.Random) -> str:
@@ -152,7 +153,9 @@ def grid(r):
 def frame(r):
     n = r.randint(2, 7)
     out = ["".ljust(5) + "".join(r.choice(WORDS).rjust(13) for _ in range(n))]
-    return "\n".join(out + [str(i).ljust(5) + "".join((_number(r) or "NaN").rjust(13) for _ in range(n)) for i in rows(r)])
+    exact, holes = r.random() < 0.7, r.choice([0, 0, 0.1])
+    value = lambda: "NaN" if r.random() < holes else f"{r.random() * 900:.4f}" if exact else _number(r) or "NaN"
+    return "\n".join(out + [str(i).ljust(5) + "".join(value().rjust(13) for _ in range(n)) for i in rows(r)])
 
 
 def padded(r):
@@ -162,7 +165,9 @@ def padded(r):
 
 def markup(r):
     n = r.randint(2, 7)
-    line = lambda t: "<tr>" + "".join(f"<{t}>{_cell(r)}</{t}>" for _ in range(n)) + "</tr>"
+    share = r.choice([0, 0.3, 1])
+    value = lambda t: r.choice(WORDS) if t == "th" or r.random() < share else _number(r)
+    line = lambda t: "<tr>" + "".join(f"<{t}>{value(t)}</{t}>" for _ in range(n)) + "</tr>"
     return "\n".join(['<table border="1">', line("th"), *(line("td") for _ in rows(r)), "</table>"])
 
 
@@ -194,6 +199,8 @@ def noise(r):
 def minified(r):
     v = lambda: r.choice("abcdegkmnpuvwxyz")
     parts = (lambda: f"function {v()}({v()}){{return {v()}[{r.randrange(99)}]^{v()}<<{r.randrange(32)}}}", lambda: "var a=!0;", lambda: "void 0;", lambda: "!function(){}();", lambda: f"{v()}.{v()}={v()}&&{v()}({v()},{r.randrange(99)}),")
+    if r.random() < 0.6:
+        parts = parts[:4]
     return "".join(r.choice(parts)() for _ in rows(r, 8, 60))
 
 
@@ -227,8 +234,8 @@ def repeated(r):
 KINDS = {
     "none": (prose, prose, prose, prose, prose, prose_bullets, verse, verse, heading, heading, scrap, code, code, result, result, trace, trace),
     "list": (bullets, bullets, numbered, numbered, links, entries, entries, versions, plain_items),
-    "table": (pipes, grid, frame, padded, markup, delimited, delimited, typeset),
-    "junk": (encoded, encoded, garbled, noise, minified, paths, logs, progress, rulers, dump, repeated),
+    "table": (pipes, pipes, grid, frame, frame, padded, markup, markup, delimited, delimited, typeset),
+    "junk": (encoded, encoded, garbled, noise, minified, minified, paths, logs, progress, rulers, dump, repeated),
 }
 
 
