@@ -142,14 +142,16 @@ def blocks_of(documents: DataFrame, key: str = "doc_id") -> DataFrame:
 def judged_blocks(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """Blocks with their statistics and kind; code is of kind none."""
     rules = fitted_rules(documents.sparkSession)
-    judged = with_statistics(blocks_of(documents, key))
+    sized = blocks_of(documents, key).withColumn("size", F.expr(COUNTS["n"]))
+    # code is of no kind whatever its statistics: they are taken of a letter in its place
+    judged = with_statistics(sized.withColumn("b", F.when(F.col("role") == CODE, "x").otherwise(F.col("b"))))
     return judged.withColumn("kind", F.when(F.col("role") == CODE, "none").otherwise(F.expr(case_expression(rules, "none"))))
 
 
 def kinds(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, kind, share) of each document more than half of which is of one kind."""
-    sizes = {k: F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k) for k in ORDER}
-    per_doc = judged_blocks(documents, key).select(key, "kind", "n").groupBy(key).agg(F.sum("n").alias("n"), *sizes.values())
+    sizes = {k: F.sum(F.when(F.col("kind") == k, F.col("size")).otherwise(0)).alias(k) for k in ORDER}
+    per_doc = judged_blocks(documents, key).select(key, "kind", "size").groupBy(key).agg(F.sum("size").alias("n"), *sizes.values())
     most = F.greatest(*ORDER)
     kind = F.expr("case " + " ".join(f"when 2 * {k} > n then '{k}'" for k in ORDER) + " end")
     return per_doc.select(key, kind.alias("kind"), (most / F.col("n")).alias("share")).filter("kind is not null")
