@@ -35,6 +35,18 @@ COMMON = (
 # What each part of a notebook is read as: code has no kind, text is judged.
 NOTEBOOK = "cells array<struct<cell_type: string, source: array<string>, outputs: array<struct<text: array<string>, traceback: array<string>, data: map<string, string>>>>>"
 CODE, TEXT = "code", "text"
+#: White space and marks that may stand before a container.
+LEADING = " \t\n\x0b\x0c\x85\xa0\u3000\u2028\u2029\ufeff"
+
+def _trie(words) -> str:
+    """A pattern of the words that decides letter by letter, not word by word."""
+    heads: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        heads.setdefault(w[:1], []).append(w[1:])
+    parts = [c + (_trie(rest) if rest != [""] else "") for c, rest in heads.items() if c]
+    group = parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+    return f"(?:{group})?" if "" in heads else group
+
 
 #: Statistics of a block b, in SQL over its text. lines, chars, n (non-blank), letters, digits and words come first.
 COUNTS = {
@@ -42,10 +54,10 @@ COUNTS = {
     "lines": r"char_length(b) - char_length(replace(b, '\n', '')) + 1",
     "n": r"char_length(regexp_replace(b, '\\s+', ''))",
     "letters": r"char_length(regexp_replace(b, '\\P{L}+', ''))",
-    "digits": "char_length(b) - char_length(translate(b, '0123456789', ''))",
+    "digits": "char_length(regexp_replace(b, '[^0-9]+', ''))",
     "words": r"size(split(b, '\\s+'))",
-    "cells": r"size(split(b, '</?t[drh]\\b|\\\\\\\\(?=\\s|$)|\\|(?=[ -])|(?<=[ -])\\|')) - 1",
-    "stops": rf"size(split(lower(b), '\\b(?:{'|'.join(COMMON)})\\b')) - 1",
+    "cells": r"size(split(b, '[|]|</?t[drh]|[&]|\\\\\\\\')) - 1",
+    "stops": rf"size(split(b, '[ \n]{_trie(COMMON)}(?=[ \n,.])')) - 1",
 }
 FEATURES = {
     "line_len": "chars / lines",
@@ -54,19 +66,18 @@ FEATURES = {
     "letter_share": "letters / n",
     "digit_share": "digits / n",
     "symbol_share": "(n - letters - digits) / n",
-    "common_share": "stops / words",
     "marker_share": r"(size(split(b, '(?m)^[ \\t]*(?:[-*+\\u2022] (?:\\[[ xX]\\] )?|\\(?[0-9]{1,3}[.)] |\\(?[a-z][.)] )(?=\\S)')) - 1) / lines",
     "n_lines": "lines",
     "heading_share": r"(size(split(b, '(?m)^#{1,6} ')) - 1) / lines",
     "end_share": r"(size(split(b, '(?m)[.!?\\u3002][\\x22\\x27)]*[ \\t]*$')) - 1) / lines",
-    "pair_share": r"(size(split(b, '(?m)^[ \\t]*[^\\s:=|<>(){}\\[\\]]{1,30}(?:[ ]?[^\\s:=|<>(){}\\[\\]]+)?(?:: | - |==| = )(?=[^\\s=(\\[{][^\\n(\\[{=]{0,40}$)')) - 1) / lines",
+    "pair_share": r"(size(split(b, '(?m)^[ \\t]*[^\\s:=|<>(){}\\[\\]]{1,30}(?: [^\\s:=|<>(){}\\[\\]]{1,30})?(?:: | - |==| = )(?=[^\\s=(\\[{][^\\n(\\[{=]{0,40}$)')) - 1) / lines",
     "pipes": "(chars - char_length(replace(b, '|', ''))) / lines",
-    "separators": r"(chars - char_length(translate(b, ',;&\t', ''))) / words",
+    "separators": r"char_length(regexp_replace(b, '[^,;&\t]+', '')) / words",
     "gaps": r"(size(split(b, '(?<=\\S)(?: {2,}|\\t)(?=\\S)')) - 1) / lines",
-    "tags": "(chars - char_length(translate(b, '<>', ''))) / lines",
+    "tags": "char_length(regexp_replace(b, '[^<>]+', '')) / lines",
     "cell_marks": "cells / lines",
-    "brackets": "(chars - char_length(translate(b, '()[]{}=', ''))) / n",
-    "rule_share": "(chars - char_length(translate(b, '=-~#*_+.', ''))) / n",
+    "brackets": r"char_length(regexp_replace(b, '[^()\\[\\]{}=]+', '')) / n",
+    "rule_share": "char_length(regexp_replace(b, '[^=~#*_+.-]+', '')) / n",
     "latin_share": r"(chars - char_length(regexp_replace(b, '[\\u0080-\\u00ff\\u20ac\\u2122\\u0153\\u0178\\ufffd]+', ''))) / n",
     "control_share": r"(chars - char_length(regexp_replace(b, '[\\x00-\\x08\\x0e-\\x1f\\ufffd]+', ''))) / n",
     "wide_share": r"(chars - char_length(regexp_replace(b, '[\\u2e80-\\uffdc]+', ''))) / n",
@@ -130,11 +141,15 @@ def _parts(text: str = "t") -> str:
     return f"case when nb.cells is not null then {notebook} when {text} rlike '(?m)^# %%' then {script} else {exported} end"
 
 
+def _one_line_end(c: str):
+    return F.when(F.instr(c, "\r") > 0, F.regexp_replace(c, "\r\n?", "\n")).otherwise(F.col(c))
+
+
 def blocks_of(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, role, b): the blocks of every document with a character that is not blank."""
-    docs = spread(documents.select(key, F.regexp_replace(F.regexp_replace("text", "\r\n?", "\n"), r"(?U)^[\s\ufeff]+", "").alias("t")).filter("t is not null"))
+    docs = spread(documents.select(key, F.ltrim(_one_line_end("text"), F.lit(LEADING)).alias("t")).filter("t is not null"))
     nb = docs.withColumn("nb", F.expr(f"case when t like '{{%' then from_json(t, '{NOTEBOOK}') end"))
-    part = nb.select(key, F.explode(F.expr(_parts())).alias("p")).select(key, "p.role", F.regexp_replace("p.b", "\r\n?", "\n").alias("b"))
+    part = nb.select(key, F.explode(F.expr(_parts())).alias("p")).select(key, "p.role", _one_line_end("p.b").alias("b"))
     block = part.select(key, "role", F.explode(F.when(F.col("role") == CODE, F.array("b")).otherwise(F.split("b", r"\n[ \t]*\n+"))).alias("b"))
     return block.withColumn("b", F.regexp_replace("b", r"^\s*\n|\s+$", "")).filter(F.col("b").rlike(r"\S"))
 
