@@ -1,11 +1,469 @@
-"""All queries of the core, by name, and their SQL."""
+"""The core's queries by operator, each over its whole table, with the SQL that must give the same rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-def queries() -> dict:
-    return {}
+from attestry import taxonomy as X
+from attestry.functions import evidence as E
+from attestry.operators import discovery as D
+from attestry.operators import evaluate as V
+from attestry.operators import report as R
+from attestry.operators import responses as A
+from attestry.runtime import Query, table
+
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _sql_list(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+def query(name: str, source: str, sql: str | None = None):
+    """Registers a function of one table (or several, comma-separated) under a name."""
+
+    def register(f):
+        _QUERIES[name] = lambda spark, sf_dir: f(*[table(spark, sf_dir, t) for t in source.split(",")])
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# -- evaluator ---------------------------------------------------------------------------------
+_P, _T = _sql_list(X.PRIMARY), "[" + _sql_list(X.TRAITS) + "]"
+_BLANK = "\n".join(f"when coalesce(regexp_replace({c}, '^\\s+|\\s+$', '', 'g'), '') = '' then 'blank {c}'" for c in V.REQUIRED)
+_ERROR = f"""case when not coalesce(human_primary in ({_P}), false) then 'human_primary' when not coalesce(predicted_primary in ({_P}), false) then 'predicted_primary'
+{_BLANK} when split not in ('development', 'holdout') then 'split' when language not in ('go', 'kotlin') then 'language'
+when not coalesce(reviewer_a_primary in ({_P}), false) then 'reviewer_a_primary' when not coalesce(reviewer_b_primary in ({_P}), false) then 'reviewer_b_primary'
+when not list_has_all({_T}, coalesce(human_traits, [])) then 'human_traits' when not list_has_all({_T}, coalesce(predicted_traits, [])) then 'predicted_traits' end"""
+_EV = f"with rev as (select *, {_ERROR} err from evaluation_records where not coalesce(pending_human_review, false)), ev as (select * from rev where err is null)"
+_SCORES = "coalesce(tp / nullif(tp + fp, 0), 0) as precision, coalesce(tp / nullif(tp + fn, 0), 0) as recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) as f1"
+_CLASS = f"""lab as (select human_primary l from ev union select predicted_primary from ev),
+cls as (select l as label, count(*) filter (where human_primary = l and predicted_primary = l) tp, count(*) filter (where human_primary <> l and predicted_primary = l) fp,
+  count(*) filter (where human_primary = l and predicted_primary <> l) fn from lab, ev group by l), met as (select label, tp, fp, fn, {_SCORES} from cls)"""
+_MARGIN = "case when coalesce(cardinality(primary_probabilities), 0) < 2 then 0 else list_reverse_sort(map_values(primary_probabilities))[1] - list_reverse_sort(map_values(primary_probabilities))[2] end"
+_REC = "evaluation_records"
+
+
+@query("flt_6_not_pending", _REC, "select id, recorded_at, confidence from evaluation_records where not coalesce(pending_human_review, false)")
+def _(r):
+    return r.filter(~F.coalesce("pending_human_review", F.lit(False))).select("id", "recorded_at", "confidence")
+
+
+@query("flt_7_vocabulary", _REC, f"select human_primary, coalesce(human_primary in ({_P}), false) as known, count(*) n from evaluation_records group by 1, 2")
+def _(r):
+    return r.groupBy("human_primary", F.coalesce(F.col("human_primary").isin(*X.PRIMARY), F.lit(False)).alias("known")).agg(F.count("*").alias("n"))
+
+
+@query("flt_8_validation", _REC, _EV + " select id, recorded_at, err as validation_error from rev where err is not null")
+def _(r):
+    return V.reviewed(r).filter("validation_error is not null").select("id", "recorded_at", "validation_error")
+
+
+@query("flt_9_crossing_repositories", _REC, _EV + " select repository, count(distinct split) n_splits from ev group by 1 having count(distinct split) > 1")
+def _(r):
+    return V.crossing_repositories(V.valid(r))
+
+
+@query("agg_1_records", _REC, _EV + " select count(*) n from ev")
+def _(r):
+    return V.valid(r).agg(F.count("*").alias("n"))
+
+
+@query("agg_2_class_metrics", _REC, f"{_EV}, {_CLASS} select * from met")
+def _(r):
+    return V.class_metrics(V.valid(r))
+
+
+@query("agg_3_confusion", _REC, _EV + " select human_primary, predicted_primary, count(*) n from ev group by 1, 2")
+def _(r):
+    return V.confusion(V.valid(r))
+
+
+_TRAIT = f"""tr as (select distinct human_traits h, predicted_traits p, id, recorded_at, row_number() over () k from ev),
+each as (select k, coalesce(h, []) h, coalesce(p, []) p, unnest(list_distinct(list_concat(coalesce(h, []), coalesce(p, [])))) trait from tr),
+cnt as (select trait, count(*) filter (where list_contains(h, trait) and list_contains(p, trait)) tp, count(*) filter (where not list_contains(h, trait) and list_contains(p, trait)) fp,
+  count(*) filter (where list_contains(h, trait) and not list_contains(p, trait)) fn from each group by 1)"""
+
+
+@query("agg_4_trait_metrics", _REC, f"{_EV}, {_TRAIT} select trait, tp, fp, fn, {_SCORES} from cnt")
+def _(r):
+    return V.trait_metrics(V.valid(r))
+
+
+@query(
+    "agg_5_slices", _REC,
+    _EV + """ select 'language' as slice, language as value, count(*) filter (where human_primary = predicted_primary) n_correct, count(*) n, count(*) filter (where human_primary = predicted_primary) / count(*) accuracy from ev group by language
+union all select 'repository', repository, count(*) filter (where human_primary = predicted_primary), count(*), count(*) filter (where human_primary = predicted_primary) / count(*) from ev group by repository
+union all select 'split', split, count(*) filter (where human_primary = predicted_primary), count(*), count(*) filter (where human_primary = predicted_primary) / count(*) from ev group by split""",
+)
+def _(r):
+    return V.slices(V.valid(r))
+
+
+@query(
+    "agg_6_7_acceptance", _REC,
+    f"""{_EV}, a as (select *, coalesce(confidence, 0) >= 0.5 and {_MARGIN} >= 0.2 ok from ev)
+select count(*) records, count(*) filter (where ok) accepted, count(*) filter (where ok and human_primary = predicted_primary) accepted_correct,
+coalesce(count(*) filter (where ok) / nullif(count(*), 0), 0) coverage, coalesce(count(*) filter (where ok and human_primary = predicted_primary) / nullif(count(*) filter (where ok), 0), 0) accepted_accuracy from a""",
+)
+def _(r):
+    return V.acceptance(V.valid(r), 0.5, 0.2)
+
+
+@query(
+    "agg_8_kappa", _REC,
+    f"""{_EV}, t as (select cast(count(*) as bigint) n, count(*) filter (where reviewer_a_primary = reviewer_b_primary) s from ev),
+a as (select reviewer_a_primary l, count(*) c from ev group by 1), b as (select reviewer_b_primary l, count(*) c from ev group by 1),
+e as (select sum(cast(a.c as double) * b.c) x from a join b using (l))
+select n as records, case when n = 0 then 0 when x / (n * n) = 1 then 1 else (s / n - x / (cast(n as double) * n)) / (1 - x / (cast(n as double) * n)) end as kappa from t, e""",
+)
+def _(r):
+    return V.kappa(V.valid(r))
+
+
+@query("agg_9_macro_f1", _REC, f"{_EV}, {_CLASS} select avg(f1) macro_f1 from met")
+def _(r):
+    return V.macro_f1(V.valid(r))
+
+
+@query("snk_3_report", _REC)
+def _(r):
+    return V.report(V.valid(r), 0.5, 0.2)
+
+
+@query(
+    "agg_10_probability_sum", _REC,
+    "select id, recorded_at, round(list_sum(map_values(primary_probabilities)), 6) as total, round(abs(list_sum(map_values(primary_probabilities)) - 1), 9) <= 0.02 as sums_to_one from evaluation_records where primary_probabilities is not null and cardinality(primary_probabilities) > 0",
+)
+def _(r):
+    s = A.probability_sum(F.col("primary_probabilities"))
+    return r.filter(F.size("primary_probabilities") > 0).select("id", "recorded_at", F.round(s, 6).alias("total"), (F.round(F.abs(s - 1), 9) <= X.SUM_TOLERANCE).alias("sums_to_one"))
+
+
+_TOP = "coalesce(list_max(map_values(primary_probabilities)), 0)"
+
+
+@query("prj_15_16_17_margins", _REC, f"select id, recorded_at, round(greatest({_TOP}, 0), 6) top, round({_MARGIN}, 6) margin from evaluation_records where primary_probabilities is not null")
+def _(r):
+    p = F.col("primary_probabilities")
+    return r.filter(p.isNotNull()).select("id", "recorded_at", F.round(E.top_probability(p), 6).alias("top"), F.round(E.margin(p), 6).alias("margin"))
+
+
+@query(
+    "pol_2_threshold_policy", _REC,
+    f"select id, recorded_at, case when coalesce(predicted_primary <> '' and confidence >= 0.8 and round({_MARGIN}, 9) >= 0.5, false) then 'accept' else 'review' end as decision from evaluation_records",
+)
+def _(r):
+    return r.select("id", "recorded_at", E.decision(F.col("predicted_primary"), F.col("confidence"), F.round(E.margin(F.col("primary_probabilities")), 9), 0.8, 0.5).alias("decision"))
+
+
+@query("pol_1_default_policy", _REC, "select id, recorded_at, 'review' as decision from evaluation_records")
+def _(r):
+    return r.select("id", "recorded_at", E.decision(F.col("predicted_primary"), F.col("confidence"), F.lit(0.0)).alias("decision"))
+
+
+@query(
+    "set_2_trait_sets", _REC,
+    "select id, recorded_at, array_to_string(list_sort(list_distinct(list_filter(coalesce(human_traits, []), lambda x: list_contains(coalesce(predicted_traits, []), x)))), ',') as hits, array_to_string(list_sort(list_distinct(list_filter(coalesce(human_traits, []), lambda x: not list_contains(coalesce(predicted_traits, []), x)))), ',') as missed from evaluation_records",
+)
+def _(r):
+    none = E.literal_array(())
+    h, p = F.coalesce("human_traits", none), F.coalesce("predicted_traits", none)
+    return r.select("id", "recorded_at", F.array_join(F.array_sort(F.array_intersect(h, p)), ",").alias("hits"), F.array_join(F.array_sort(F.array_except(h, p)), ",").alias("missed"))
+
+
+@query(
+    "cls_2_primary_checks", _REC,
+    f"""with v as (select *, map_values(primary_probabilities) p, map_keys(primary_probabilities) k from evaluation_records)
+select id, recorded_at, case when not coalesce(predicted_primary in ({_P}), false) then 'unknown primary type' when p is null or len(p) = 0 then 'no probabilities'
+when confidence is null then 'no confidence' when isnan(confidence) or confidence < 0 or confidence > 1 then 'confidence out of range'
+when len(list_filter(k, lambda x: x not in ({_P}))) > 0 then 'unknown probability label' when len(list_filter(p, lambda x: x is null or isnan(x) or x < 0 or x > 1)) > 0 then 'probability out of range'
+when round(abs(list_sum(p) - 1), 9) > 0.02 then 'probability sum' when not list_contains(k, predicted_primary) then 'choice not in probabilities' end as error from v""",
+)
+def _(r):
+    a = F.struct(F.lit("choice").alias("type"), F.col("predicted_primary").alias("choice"), F.col("primary_probabilities").alias("probabilities"), "confidence", F.lit(None).cast("double").alias("noul"))
+    return r.select("id", "recorded_at", A.primary_error(a).alias("error"))
+
+
+@query("prj_18_confidence_text", _REC, "select id, recorded_at, printf('%.2f', confidence) as conf from evaluation_records where confidence between 0 and 1")
+def _(r):
+    return r.filter("confidence between 0 and 1").select("id", "recorded_at", F.format_number("confidence", 2).alias("conf"))
+
+
+@query("jon_6_marginals", _REC, f"{_EV}, a as (select reviewer_a_primary l, count(*) n_a from ev group by 1), b as (select reviewer_b_primary l, count(*) n_b from ev group by 1) select a.l as label, n_a, coalesce(n_b, 0) n_b from a left join b using (l)")
+def _(r):
+    v = V.valid(r)
+    a, b = (v.groupBy(F.col(f"reviewer_{s}_primary").alias("label")).agg(F.count("*").alias(f"n_{s}")) for s in "ab")
+    return a.join(b, "label", "left").select("label", "n_a", F.coalesce("n_b", F.lit(0)).alias("n_b"))
+
+
+# -- evidence ----------------------------------------------------------------------------------
+_EVD = "test_evidence"
+_SIGNAL = "case " + " ".join(f"when x = '{m}' then '{s}'" for m, s in X.EXACT_IMPORTS) + " " + " ".join(f"when x = '{m}' or starts_with(x, '{m}.') then '{s}'" for m, s in X.PREFIX_IMPORTS) + " end"
+_FEATURES = f"list_transform(list_filter(list_transform(coalesce(imports, []), lambda x: {_SIGNAL}), lambda s: s is not null), lambda s: 'imports ' || s)"
+_FIRST = "list_filter({0}, lambda s, i: list_position({0}, s) = i)"
+_NAMES = "list_transform(coalesce(features, []), lambda f: f.name)"
+
+
+@query("prj_1_test_id", _EVD, "select seq, recorded_at, path || '::' || qualified as test_id from test_evidence")
+def _(e):
+    return e.select("seq", "recorded_at", E.test_id(F.col("path"), F.col("qualified")).alias("test_id"))
+
+
+def _cut_sql(limit: int) -> str:
+    keep = limit - len(X.TRUNCATED)
+    ok = lambda n: f"substr(hex(encode(source)), {2 * n + 1}, 2) not between '80' and 'BF'"
+    n = f"case when {ok(keep)} then {keep} when {ok(keep - 1)} then {keep - 1} when {ok(keep - 2)} then {keep - 2} else {keep - 3} end"
+    return f"case when octet_length(encode(source)) <= {limit} then source else decode(unhex(substr(hex(encode(source)), 1, 2 * ({n})))) || chr(10) || '// ... evidence truncated ...' end"
+
+
+@query("prj_2_3_truncate", _EVD, f"select seq, recorded_at, {_cut_sql(512)} as source from test_evidence where source is not null")
+def _(e):
+    return e.filter("source is not null").select("seq", "recorded_at", E.truncated(F.col("source"), 512).alias("source"))
+
+
+@query("prj_4_5_limits", _EVD, f"select seq, recorded_at, len(imports[1:64]) n_imports, len(annotations[1:64]) n_annotations, len(features[1:64]) n_features, octet_length(encode({_cut_sql(8192)})) n_bytes from test_evidence where source is not null and imports is not null and annotations is not null and features is not null")
+def _(e):
+    e = e.filter("source is not null and imports is not null and annotations is not null and features is not null")
+    n = lambda c: F.size(E.capped(F.col(c))).cast("bigint")
+    return e.select("seq", "recorded_at", n("imports").alias("n_imports"), n("annotations").alias("n_annotations"), n("features").alias("n_features"), F.octet_length(E.truncated(F.col("source"))).cast("bigint").alias("n_bytes"))
+
+
+@query("prj_6_import_signal", _EVD, f"with i as (select unnest(imports) x from test_evidence) select x as import, {_SIGNAL} as signal, count(*) n from i group by 1, 2")
+def _(e):
+    i = e.select(F.explode("imports").alias("import"))
+    return i.groupBy("import", E.import_signal(F.col("import")).alias("signal")).agg(F.count("*").alias("n"))
+
+
+@query("prj_7_import_features", _EVD, f"with f as (select seq, recorded_at, {_FEATURES} f from test_evidence) select seq, recorded_at, array_to_string({_FIRST.format('f')}, '|') as features from f")
+def _(e):
+    return e.select("seq", "recorded_at", F.array_join(E.import_features(F.col("imports")), "|").alias("features"))
+
+
+@query(
+    "prj_8_merged_features", _EVD,
+    f"with f as (select seq, recorded_at, {_NAMES} b, {_FEATURES} f from test_evidence) select seq, recorded_at, array_to_string(list_concat(b, list_filter({_FIRST.format('f')}, lambda x: not list_contains(b, x))), '|') as features from f",
+)
+def _(e):
+    base = F.coalesce(F.transform("features", lambda f: f["name"]), E.literal_array(()))
+    return e.select("seq", "recorded_at", F.array_join(E.merged_features(base, E.import_features(F.col("imports"))), "|").alias("features"))
+
+
+_TRAITS_SQL = "list_concat(" + ", ".join(f"case when list_has_any({_NAMES}, [{_sql_list(X.TRAIT_FEATURES[t])}]) then ['{t}'] else [] end" for t in X.DETERMINISTIC) + ")"
+
+
+@query("jon_2_parser_traits", _EVD, f"select seq, recorded_at, array_to_string({_TRAITS_SQL}, ',') as traits from test_evidence")
+def _(e):
+    names = F.coalesce(F.transform("features", lambda f: f["name"]), E.literal_array(()))
+    return e.select("seq", "recorded_at", F.array_join(E.parser_traits(names), ",").alias("traits"))
+
+
+@query("jon_5_rule_counts", _EVD, f"with i as (select unnest(imports) x from test_evidence), s as (select {_SIGNAL} label from i) select label, count(*) n from s where label is not null group by 1")
+def _(e):
+    """The rule lookup as a join: distinct imports against the 21 rules, first rule wins."""
+    spark = e.sparkSession
+    rules = spark.createDataFrame([(i, m, i >= len(X.EXACT_IMPORTS), s) for i, (m, s) in enumerate(X.EXACT_IMPORTS + X.PREFIX_IMPORTS)], "ord int, rule string, below boolean, label string")
+    paths = e.select(F.explode("imports").alias("x")).groupBy("x").agg(F.count("*").alias("n"))
+    hit = (F.col("x") == F.col("rule")) | (F.col("below") & F.col("x").startswith(F.concat("rule", F.lit("."))))
+    return paths.join(F.broadcast(rules), hit).groupBy("x", "n").agg(F.min_by("label", "ord").alias("label")).groupBy("label").agg(F.sum("n").alias("n"))
+
+
+@query("flt_11_kotlin_tests", _EVD, f"select seq, recorded_at, len(list_filter(coalesce(annotations, []), lambda a: regexp_extract(a, '^@(?:[a-z]+:)?(?:[A-Za-z_0-9]+\\.)*([A-Za-z_0-9]+)', 1) in ({_sql_list(X.TEST_ANNOTATIONS)}))) > 0 as is_test from test_evidence where language = 'kotlin'")
+def _(e):
+    names = F.transform(F.coalesce("annotations", E.literal_array(())), lambda a: F.regexp_extract(a, r"^@(?:[a-z]+:)?(?:[A-Za-z_0-9]+\.)*([A-Za-z_0-9]+)", 1))
+    return e.filter("language = 'kotlin'").select("seq", "recorded_at", F.arrays_overlap(names, E.literal_array(X.TEST_ANNOTATIONS)).alias("is_test"))
+
+
+@query("flt_12_golden_calls", _EVD, "select seq, recorded_at, regexp_matches(source, '(?i)[A-Za-z_]*golden[A-Za-z_0-9]*\\(') golden, regexp_matches(source, '(?i)[A-Za-z_]*snapshot[A-Za-z_0-9]*\\(') snapshot from test_evidence where source is not null")
+def _(e):
+    call = lambda w: F.col("source").rlike(rf"(?i)[A-Za-z_]*{w}[A-Za-z_0-9]*\(")
+    return e.filter("source is not null").select("seq", "recorded_at", call("golden").alias("golden"), call("snapshot").alias("snapshot"))
+
+
+@query("flt_13_run_size", _EVD, f"select count(*) n, count(*) > {X.RUN_TESTS} as too_many from test_evidence")
+def _(e):
+    return e.agg(F.count("*").alias("n")).withColumn("too_many", F.col("n") > X.RUN_TESTS)
+
+
+@query("prj_12_requests", _EVD)
+def _(e):
+    return A.requests(e, X.MODEL)
+
+
+@query("prj_13_questions", _EVD, f"select 'trait_' || unnest([{_sql_list(X.ASKED)}]) as question, (select count(*) from test_evidence) n_tests")
+def _(e):
+    n = e.agg(F.count("*").alias("n_tests"))
+    return n.select(F.explode(F.transform(E.literal_array(X.ASKED), A.trait_question)).alias("question"), "n_tests")
+
+
+@query("srt_2_report_order", _EVD, "select path || '::' || qualified as test, seq, row_number() over (order by path || '::' || qualified, seq, recorded_at) as position from test_evidence where path is not null and qualified is not null")
+def _(e):
+    rows = e.filter("path is not null and qualified is not null").select(E.test_id(F.col("path"), F.col("qualified")).alias("test"), "seq", "recorded_at")
+    # positions from a range sort: counts of the partitions before, then of the rows before in the partition
+    ordered = rows.repartitionByRange("test", "seq", "recorded_at").sortWithinPartitions("test", "seq", "recorded_at").withColumn("_id", F.monotonically_increasing_id())
+    ordered = ordered.withColumn("_p", F.shiftright("_id", 33)).withColumn("_i", F.col("_id").bitwiseAND((1 << 33) - 1))
+    from pyspark.sql import Window
+
+    from attestry.runtime import materialize
+
+    ordered = materialize(ordered, "order")
+    before = ordered.groupBy("_p").agg(F.count("*").alias("_n"))  # one row per partition
+    before = before.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return ordered.join(F.broadcast(before), "_p").select("test", "seq", (F.col("_before") + F.col("_i") + 1).alias("position"))
+
+
+@query("snk_1_report_rows", _EVD, f"select '' as type, array_to_string(list_sort({_TRAITS_SQL}), ',') as traits, '0.00' as conf, 'review' as status, path || '::' || qualified as test from test_evidence")
+def _(e):
+    names = F.coalesce(F.transform("features", lambda f: f["name"]), E.literal_array(()))
+    none = F.expr("cast(map() as map<string, double>)")
+    shown = e.select("seq", "path", "qualified", E.merged_traits(E.parser_traits(names), none).alias("traits"), F.lit("").alias("primary"), F.lit(0.0).alias("confidence"), F.lit("review").alias("decision"))
+    return R.rows(shown)
+
+
+# -- model answers: recorded responses derived from the evidence ---------------------------------
+_NOUL = "((seq + 17 * {i}) % 101) / 100.0"
+
+
+def _recorded(e: DataFrame) -> DataFrame:
+    """Recorded responses (seq, response): two probable labels, seven trait answers; some malformed."""
+    seq = F.col("seq")
+    label = lambda k: F.element_at(E.literal_array(X.PRIMARY), F.pmod(seq + k, F.lit(8)).cast("int") + 1)
+    p = (F.pmod(seq, F.lit(41)) + 40) / 100
+    answers = [f'"trait_{t}":{{"type":"noul","noul":%s}}' for t in X.ASKED]
+    nouls = [F.format_number(F.pmod(seq + 17 * i, F.lit(101)) / 100, 2) for i in range(len(X.ASKED))]
+    shape = '{"model":"%s","answers":{"primary_type":{"type":"choice","choice":"%s","probabilities":{"%s":%s,"%s":%s},"confidence":%s},' + ",".join(answers) + "}}%s"
+    model = F.when(F.pmod(seq, F.lit(50)) == 1, "").otherwise(F.lit(X.MODEL))
+    tail = F.when(F.pmod(seq, F.lit(50)) == 2, " {}").otherwise("")
+    second = F.when(F.pmod(seq, F.lit(50)) == 3, F.lit("0.90")).otherwise(F.format_number(1 - p, 2))
+    choice = F.when(F.pmod(seq, F.lit(50)) == 4, "nonsense").otherwise(label(0))
+    return e.select("seq", F.format_string(shape, model, choice, label(0), F.format_number(p, 2), label(1), second, F.format_number(F.pmod(seq, F.lit(101)) / 100, 2), *nouls, tail).alias("response"))
+
+
+_FAULT = "case seq % 50 when 2 then 'invalid JSON' when 1 then 'missing model' when 4 then 'unknown primary type' when 3 then 'probability sum' end"
+
+
+@query("cls_1_4_response_errors", _EVD, f"select seq, {_FAULT} as response_error from (select distinct seq from test_evidence)")
+def _(e):
+    one = e.select("seq").distinct()
+    return A.decoded(_recorded(one)).withColumn("response_error", A.response_error()).select("seq", "response_error")
+
+
+@query("jon_4_missing_answers", _EVD, "select seq, '' as missing from (select distinct seq from test_evidence) where seq % 50 <> 2")
+def _(e):
+    d = A.decoded(_recorded(e.select("seq").distinct())).filter("valid_json")
+    return d.select("seq", F.array_join(A.missing_answers(F.col("answers")), ",").alias("missing"))
+
+
+_JEV = " union all ".join(f"select seq, '{t}' as trait, ((seq + 17 * {i}) % 101) / 100.0 as m from (select distinct seq from test_evidence where {_FAULT} is null)" for i, t in enumerate(X.ASKED))
+
+
+@query(
+    "jon_1_3_merged_traits", _EVD,
+    f"""with m as ({_JEV}), one as (select seq, any_value(features) as features from test_evidence where {_FAULT} is null group by seq),
+p as (select seq, unnest({_TRAITS_SQL}) trait from one)
+select coalesce(m.seq, p.seq) seq, coalesce(m.trait, p.trait) trait, p.trait is not null or m.m >= 0.5 as present, round(coalesce(m.m, 1), 6) as probability,
+case when m.m is null then 'parser' when p.trait is null then 'jev' else 'combined' end as source from m full join p on m.seq = p.seq and m.trait = p.trait""",
+)
+def _(e):
+    one = e.groupBy("seq").agg(F.any_value("features").alias("features"))
+    p = A.predictions(one, _recorded(one.select("seq"))).filter("response_error is null")
+    return p.select("seq", F.explode("traits").alias("trait", "v")).select("seq", "trait", "v.present", F.round("v.probability", 6).alias("probability"), "v.source")
+
+
+@query("agg_11_errors", _EVD, f"select string_agg(seq || ': ' || f, chr(10) order by seq) as errors from (select seq, {_FAULT} f from (select distinct seq from test_evidence)) where f is not null")
+def _(e):
+    d = A.decoded(_recorded(e.select("seq").distinct())).withColumn("err", A.response_error()).filter("err is not null")
+    return d.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "err"))), lambda x: F.concat(x["seq"].cast("string"), F.lit(": "), x["err"])), "\n").alias("errors"))
+
+
+# -- discovery ---------------------------------------------------------------------------------
+_SRC = "source_files"
+_LANG = r"case lower(regexp_extract(path, '(\.[^./]*)$', 1)) when '.go' then 'go' when '.kt' then 'kotlin' end"
+_CONV = rf"case {_LANG} when 'go' then ends_with(path, '_test.go') when 'kotlin' then regexp_matches(path, '({'|'.join(X.KOTLIN_STEMS)})\.[^./]*$') or " + " or ".join(f"contains('/' || lower(path), '{m}')" for m in X.KOTLIN_PATHS) + " else false end"
+_GLOBS = ("*_test.go", "pkg/**", "**/*Spec.kt", "cmd/*/[a-m]*_test.go", "internal/*.go")
+
+
+@query("src_3_pruned", _SRC, f"select file_id, recorded_at, list_has_any(string_split(path, '/')[1:-2], [{_sql_list(X.PRUNED)}]) as pruned from source_files where path is not null")
+def _(s):
+    return s.filter("path is not null").select("file_id", "recorded_at", D.pruned(F.col("path")).alias("pruned"))
+
+
+@query("src_5_language", _SRC, f"select file_id, recorded_at, {_LANG} as lang from source_files")
+def _(s):
+    return s.select("file_id", "recorded_at", D.language(F.col("path")).alias("lang"))
+
+
+@query("src_6_convention", _SRC, f"select file_id, recorded_at, {_CONV} as conventional from source_files where path is not null")
+def _(s):
+    return s.filter("path is not null").select("file_id", "recorded_at", D.conventional(F.col("path")).alias("conventional"))
+
+
+@query(
+    "src_4_set_1_candidates", _SRC,
+    f"""with c as (select file_id, path, source_path, {_LANG} as language, {_CONV} as conv, row_number() over (partition by source_path order by file_id, path, recorded_at) n from source_files
+where {_LANG} is not null and {_CONV} and not list_has_any(string_split(path, '/')[1:-2], [{_sql_list(X.PRUNED)}]) and not regexp_matches('/' || path, '^(?:/[^/]*)*/cmd(?:/.*)?$'))
+select file_id, path, source_path, language from c where n = 1""",
+)
+def _(s):
+    files = s.select("file_id", "path", "source_path", F.col("file_id").alias("root_ord"))
+    return D.candidates(files, exclude=["cmd/**"]).select("file_id", "path", "source_path", "language")
+
+
+@query("src_8_bounded_read", _SRC, "select file_id, recorded_at, case when octet_length(content) > 4194304 then 'file exceeds 4194304 byte limit' end as reason, octet_length(content) n_bytes from source_files where content is not null")
+def _(s):
+    n = F.octet_length("content")
+    return s.filter("content is not null").select("file_id", "recorded_at", F.when(n > X.FILE_BYTES, f"file exceeds {X.FILE_BYTES} byte limit").alias("reason"), n.cast("bigint").alias("n_bytes"))
+
+
+_GLOB_SQL = {"*_test.go": "regexp_matches(path, '^(.*/)?[^/]*_test\\.go$')", "pkg/**": "regexp_matches(path, '^(.*/)?pkg(/.*)?$')", "**/*Spec.kt": "regexp_matches(path, '^(.*/)?[^/]*Spec\\.kt$')", "cmd/*/[a-m]*_test.go": "regexp_matches(path, '^(.*/)?cmd/[^/]*/[a-m][^/]*_test\\.go$')", "internal/*.go": "regexp_matches(path, '^(.*/)?internal/[^/]*\\.go$')"}
+
+
+@query("flt_1_2_globs", _SRC, "select file_id, recorded_at, " + ", ".join(f"{_GLOB_SQL[g]} as g{i}" for i, g in enumerate(_GLOBS)) + " from source_files where path is not null")
+def _(s):
+    return s.filter("path is not null").select("file_id", "recorded_at", *[D.matches_any(F.col("path"), [g]).alias(f"g{i}") for i, g in enumerate(_GLOBS)])
+
+
+@query("flt_4_5_include_exclude", _SRC, f"select file_id, recorded_at, {_GLOB_SQL['**/*Spec.kt']} or {_GLOB_SQL['internal/*.go']} as included, regexp_matches('/' || path, '^(?:/[^/]*)*/(?:pkg|shard)(?:/.*)?$') as excluded from source_files where path is not null")
+def _(s):
+    return s.filter("path is not null").select("file_id", "recorded_at", D.matches_any(F.col("path"), ["**/*Spec.kt", "internal/*.go"]).alias("included"), D.excluded(F.col("path"), ["pkg", "shard"]).alias("excluded"))
+
+
+@query("snk_2_skipped", "skipped_files", "select path, reason from skipped_files")
+def _(s):
+    return R.skipped_rows(s)
+
+
+# -- extraction --------------------------------------------------------------------------------
+@query("gen_extracted_tests", _SRC)
+def _(s):
+    from attestry.extract import stage
+
+    files = s.select(F.concat_ws("/", "repository", "path").alias("path"), D.language(F.col("path")).alias("language"), "content")
+    t = stage.tests(stage.extracted(files))
+    return t.select("path", "ord", "qualified", "language", "annotations", "imports", "source", F.transform("features", lambda f: f["name"]).alias("features"))
+
+
+@query("gen_15_skipped", _SRC)
+def _(s):
+    from attestry.extract import stage
+
+    return stage.skipped(stage.extracted(s.select("path", D.language(F.col("path")).alias("language"), "content")))
+
+
+@query("gen_6_interval", _SRC, "select file_id, recorded_at, len(path) between 30 and 50 as inside from source_files where path is not null")
+def _(s):
+    span = F.array(F.struct(F.lit(30).alias("a"), F.lit(50).alias("b")))
+    return s.filter("path is not null").select("file_id", "recorded_at", F.exists(span, lambda x: F.char_length("path").between(x["a"], x["b"])).alias("inside"))
