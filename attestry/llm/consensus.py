@@ -169,6 +169,9 @@ def _statistics(p: Parameters):
 def fit(items: DataFrame, n: int, iterations: int = ITERATIONS) -> Parameters:
     """items: (id, who array<int>, label array<int>), codes below n. Each pass returns n * K rows to the driver."""
     p = Parameters(n)
+    p.count = np.zeros((n, K, K))
+    if not n:
+        return p
     sums = [F.sum(c).alias(c) for c in ("grad", "curve", *[f"c{i}" for i in range(K)])]
     for _ in range(iterations):
         rows = items.select("id", "who", "label").mapInArrow(_statistics(p), _STATS).groupBy("who", "z").agg(*sums).collect()

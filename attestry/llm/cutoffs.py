@@ -98,7 +98,7 @@ def select_ranks(scores: DataFrame, ranks: DataFrame, direct: int = DIRECT) -> D
         if not n_open:
             break
         medians = join_hot(open_scores, state.select(*KEYS), KEYS, n_open).mapInPandas(_batch_medians, "repository string, language string, median double, weight bigint")
-        pivots = medians.groupBy(*KEYS).agg(F.percentile("median", F.lit(0.5), "weight").alias("pivot"))
+        pivots = medians.groupBy(*KEYS).agg(F.percentile("median", F.lit(0.5), F.col("weight")).alias("pivot"))
         counts = (
             join_hot(open_scores, pivots, KEYS, n_open).groupBy(*KEYS)
             .agg(F.first("pivot").alias("pivot"), F.count_if(F.col("confidence") > F.col("pivot")).alias("above"), F.count_if(F.col("confidence") == F.col("pivot")).alias("at"))
@@ -156,7 +156,7 @@ with latest as (
   from evaluation_records where id is not null group by id),
 base as (
   select id, {_KEY.format('v.r')} as repository, lower(regexp_replace(v.l, '^\\s+|\\s+$', '', 'g')) as language, v.c as confidence
-  from latest where not coalesce(v.p, false) and v.c between 0 and 1),
+  from latest where not coalesce(v.p, false) and v.c between 0 and 1 and not isnan(v.c)),
 counted as (select *, count(*) over (partition by repository, language) n,
     rank() over (partition by repository, language order by confidence desc) below
   from base where repository is not null and language in ('go', 'kotlin')),
