@@ -58,7 +58,10 @@ strict_json = F.pandas_udf(_strict, T.StringType())
 
 def decoded(responses: DataFrame, raw: str = "response") -> DataFrame:
     """responses with model and answers; both null where the text is no single JSON object."""
-    return responses.withColumn("_clean", strict_json(F.col(raw))).withColumn("_r", F.from_json("_clean", RESPONSE)).withColumns({"model": F.col("_r.model"), "answers": F.col("_r.answers")}).withColumn("valid_json", F.col("_clean").isNotNull()).drop("_r", "_clean")
+    clean = responses.withColumn("_clean", strict_json(F.col(raw)))
+    # explode of one keeps the parsed answer a column: Catalyst would else parse anew for every field that is read
+    parsed = clean.withColumn("_r", F.explode(F.array(F.from_json("_clean", RESPONSE))))
+    return parsed.withColumns({"model": F.col("_r.model"), "answers": F.col("_r.answers"), "valid_json": F.col("_clean").isNotNull()}).drop("_r", "_clean")
 
 
 def probability_sum(p: Column) -> Column:
@@ -103,7 +106,7 @@ def response_error(asked=X.ASKED) -> Column:
 
 def predictions(evidence: DataFrame, responses: DataFrame, asked=X.ASKED) -> DataFrame:
     """evidence (with seq, features) joined to responses (seq, response): prediction columns and response_error."""
-    d = decoded(responses).withColumn("response_error", response_error(asked))
+    d = decoded(responses).withColumn("response_error", F.explode(F.array(response_error(asked))))
     p = F.try_element_at("answers", F.lit(PRIMARY_QUESTION))
     nouls = F.map_from_arrays(literal_array(asked), F.array(*[F.try_element_at("answers", F.lit(f"trait_{t}"))["noul"] for t in asked]))
     ok = F.col("response_error").isNull()

@@ -11,7 +11,7 @@ from attestry.operators import discovery as D
 from attestry.operators import evaluate as V
 from attestry.operators import report as R
 from attestry.operators import responses as A
-from attestry.runtime import Query, table
+from attestry.runtime import Query, numbered, table
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
@@ -312,17 +312,8 @@ def _(e):
 @query("srt_2_report_order", _EVD, "select path || '::' || qualified as test, seq, row_number() over (order by path || '::' || qualified, seq, recorded_at) as position from test_evidence where path is not null and qualified is not null")
 def _(e):
     rows = e.filter("path is not null and qualified is not null").select(E.test_id(F.col("path"), F.col("qualified")).alias("test"), "seq", "recorded_at")
-    # positions from a range sort: counts of the partitions before, then of the rows before in the partition
-    ordered = rows.repartitionByRange("test", "seq", "recorded_at").sortWithinPartitions("test", "seq", "recorded_at").withColumn("_id", F.monotonically_increasing_id())
-    ordered = ordered.withColumn("_p", F.shiftright("_id", 33)).withColumn("_i", F.col("_id").bitwiseAND((1 << 33) - 1))
-    from pyspark.sql import Window
-
-    from attestry.runtime import materialize
-
-    ordered = materialize(ordered, "order")
-    before = ordered.groupBy("_p").agg(F.count("*").alias("_n"))  # one row per partition
-    before = before.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return ordered.join(F.broadcast(before), "_p").select("test", "seq", (F.col("_before") + F.col("_i") + 1).alias("position"))
+    ordered = rows.repartitionByRange("test", "seq", "recorded_at").sortWithinPartitions("test", "seq", "recorded_at")
+    return numbered(ordered, "position").select("test", "seq", "position")
 
 
 @query("snk_1_report_rows", _EVD, f"select '' as type, array_to_string(list_sort({_TRAITS_SQL}), ',') as traits, '0.00' as conf, 'review' as status, path || '::' || qualified as test from test_evidence")
