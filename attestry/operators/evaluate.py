@@ -93,7 +93,7 @@ def slices(rows: DataFrame) -> DataFrame:
 def acceptance(rows: DataFrame, min_confidence: float, min_margin: float) -> DataFrame:
     """Records, accepted, accepted and right, coverage and accepted accuracy; thresholds of 0 or less accept nothing."""
     on = F.lit(min_confidence > 0 and min_margin > 0)
-    ok = on & (F.coalesce("confidence", F.lit(0.0)) >= min_confidence) & (margin(F.col("primary_probabilities"), floor=False) >= min_margin)
+    ok = on & (F.coalesce("confidence", F.lit(0.0)) >= min_confidence) & ~F.isnan(F.coalesce("confidence", F.lit(0.0))) & (margin(F.col("primary_probabilities"), floor=False) >= min_margin)
     right = F.col("human_primary") == F.col("predicted_primary")
     counts = rows.agg(F.count("*").alias("records"), F.count_if(ok).alias("accepted"), F.count_if(ok & right).alias("accepted_correct"))
     return counts.select("*", ratio(F.col("accepted"), F.col("records")).alias("coverage"), ratio(F.col("accepted_correct"), F.col("accepted")).alias("accepted_accuracy"))

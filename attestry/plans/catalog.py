@@ -115,7 +115,7 @@ def _(r):
 
 @query(
     "agg_6_7_acceptance", _REC,
-    f"""{_EV}, a as (select *, coalesce(confidence, 0) >= 0.5 and {_MARGIN} >= 0.2 ok from ev)
+    f"""{_EV}, a as (select *, coalesce(confidence, 0) >= 0.5 and not isnan(coalesce(confidence, 0)) and {_MARGIN} >= 0.2 ok from ev)
 select count(*) records, count(*) filter (where ok) accepted, count(*) filter (where ok and human_primary = predicted_primary) accepted_correct,
 coalesce(count(*) filter (where ok) / nullif(count(*), 0), 0) coverage, coalesce(count(*) filter (where ok and human_primary = predicted_primary) / nullif(count(*) filter (where ok), 0), 0) accepted_accuracy from a""",
 )
@@ -198,7 +198,7 @@ def _(r):
     return r.select("id", "recorded_at", A.primary_error(a).alias("error"))
 
 
-@query("prj_18_confidence_text", _REC, "select id, recorded_at, printf('%.2f', confidence) as conf from evaluation_records where confidence between 0 and 1")
+@query("prj_18_confidence_text", _REC, "select id, recorded_at, printf('%.2f', confidence) as conf from evaluation_records where confidence between 0 and 1 and not isnan(confidence)")
 def _(r):
     return r.filter("confidence between 0 and 1").select("id", "recorded_at", F.format_number("confidence", 2).alias("conf"))
 
