@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -91,8 +92,10 @@ def _remove(spark: SparkSession, path: str) -> None:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
     except Exception:
-        if path.startswith("file:"):
-            shutil.rmtree(path.removeprefix("file:").replace("//", "/", 1), ignore_errors=True)
+        # the session has ended: what lies in this machine's file system can still be removed
+        local = re.sub("^file:/+", "/", path)
+        if os.path.isdir(local):
+            shutil.rmtree(local, ignore_errors=True)
 
 
 def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int = 200) -> DataFrame:
