@@ -86,7 +86,7 @@ PAIR = re.compile(r"""(?P<k>[A-Za-z][\w.\-]*)(?:\\*["'])?[ \t]*(?:=>|->|:=|[:=])
 WORDED = re.compile(r"""(?im)^[ \t]*(?:machine[ \t]+\S+[ \t]+)?(?:login[ \t]+\S+[ \t]+)?password[ \t]+(?P<v>[^\s"']+)[ \t]*$""")
 FLAG = re.compile(r"""(?<![\w\-])(?:--?(?P<k>[A-Za-z][\w\-]*)[ =]|-(?P<u>[up])[ ]?)(?P<v>[^\s"'`]+)""")
 USERINFO = re.compile(r"""[a-zA-Z][a-zA-Z0-9+.\-]*://[^\s/:@"'`]*:(?P<v>[^\s/@"'`]+)@""")
-LINK = re.compile(r"""[?&](?:sig|signature|token|access_token|auth_token|secret|api_?key|x-amz-signature|sas)=(?P<v>[^\s"'`&#]{12,})""", re.I)
+LINK = re.compile(r"""[?&](?:sig|signature|token|access_token|auth_token|secret|(?:api_?)?key|x-amz-signature|sas)=(?P<v>[^\s"'`&#]{12,})""", re.I)
 HOOK = re.compile(r"""https?://hooks?\.[^\s"'`/]+/(?P<v>(?:[\w\-]+/)*[\w\-]{16,})|https?://[^\s"'`]+/(?:web)?hooks?/(?P<w>(?:[\w\-]+/)*[\w\-]{20,})""", re.I)
 SCHEME = re.compile(r"""\b(?P<s>basic|bearer|token)[ ]+(?P<v>[A-Za-z0-9+/=._~\-]{8,})""", re.I)
 TRIGGER = re.compile(r"(?i)pass|pwd|secret|token|key|cred|auth|pin\b|otp|pat\b|://|bearer|basic|AKIA|ASIA|AIza|glpat|gh[opsur]_|npm_|pypi-|xox|_live_|_prod_|SG\.|dop_v1|hvs\.|shpat|eyJ|login|connect|-[upa][ ]|hook|pw\b")
@@ -127,7 +127,7 @@ def placeholder(value: str) -> bool:
 
 def telling(value: str) -> bool:
     """Whether a value outside any quotes looks like no word of prose."""
-    return not placeholder(value) and len(value) >= 6 and bool(re.search(r"\d|[a-z][A-Z]|^[a-z]+(?:-[a-z]+){2,}$|[!@#%^*?~+/]", value)) and not re.search(r"[.:]$|\(\)", value)
+    return not placeholder(value) and len(value) >= 6 and bool(re.search(r"\d|[a-z][A-Z]|^[a-z]+(?:-[a-z]+){2,}$|[!@#%^*?~+/]", value)) and "()" not in value and not re.fullmatch(r"[A-Za-z\-]*[.:]", value)
 
 
 def in_text(text: str, base: int, out: list[tuple[int, int]]) -> None:
