@@ -127,7 +127,7 @@ def placeholder(value: str) -> bool:
 
 def telling(value: str) -> bool:
     """Whether a value outside any quotes looks like no word of prose."""
-    return not placeholder(value) and len(value) >= 6 and bool(re.search(r"\d|[a-z][A-Z]|^[a-z]+(?:-[a-z]+){2,}$|[!@#%^*?~+/]", value)) and "()" not in value and not re.fullmatch(r"[A-Za-z\-]*[.:]", value)
+    return not placeholder(value) and len(value) >= 6 and bool(re.search(r"\d|[a-z][A-Z]|^[a-z]+(?:-[a-z]+){2,}$|[!@#%^*?~+/]", value)) and "()" not in value and not re.fullmatch(r"[A-Z]?[a-z\-]*[.:]", value)
 
 
 def in_text(text: str, base: int, out: list[tuple[int, int]]) -> None:
