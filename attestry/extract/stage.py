@@ -12,6 +12,7 @@ from attestry import taxonomy as X
 from attestry.extract import go, kotlin
 from attestry.extract.common import SyntaxFault
 from attestry.functions.evidence import capped, import_features, literal_array, merged_features, truncated
+from attestry.runtime import spread
 
 READERS = {"go": go.tests, "kotlin": kotlin.tests}
 _SCHEMA = "path string, ord int, qualified string, language string, name string, annotations array<string>, imports array<string>, source string, names array<string>, error string"
@@ -31,7 +32,8 @@ def _extract(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def extracted(files: DataFrame) -> DataFrame:
     """(path, language, content) to tests and error rows in one schema; write it once before splitting it."""
-    return files.filter("content is not null").select("path", "language", "content").filter(F.col("language").isin(*READERS)).mapInPandas(_extract, _SCHEMA)
+    rows = files.filter("content is not null").select("path", "language", "content").filter(F.col("language").isin(*READERS))
+    return spread(rows).mapInPandas(_extract, _SCHEMA)
 
 
 def tests(rows: DataFrame, source_bytes: int = X.SOURCE_BYTES, entries: int = X.LIST_ENTRIES) -> DataFrame:

@@ -374,10 +374,12 @@ def _(e):
     return p.select("seq", F.explode("traits").alias("trait", "v")).select("seq", "trait", "v.present", F.round("v.probability", 6).alias("probability"), "v.source")
 
 
-@query("agg_11_errors", _EVD, f"select string_agg(seq || ': ' || f, chr(10) order by seq) as errors from (select seq, {_FAULT} f from (select distinct seq from test_evidence)) where f is not null")
+@query("agg_11_errors", _EVD, f"select row_number() over (order by seq) as position, seq || ': ' || f as error from (select seq, {_FAULT} f from (select distinct seq from test_evidence)) where f is not null")
 def _(e):
-    d = A.decoded(_recorded(e.select("seq").distinct())).withColumn("err", A.response_error()).filter("err is not null")
-    return d.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "err"))), lambda x: F.concat(x["seq"].cast("string"), F.lit(": "), x["err"])), "\n").alias("errors"))
+    """All errors in input order, as numbered rows: their number is not bounded, so they are not joined into one text."""
+    d = A.decoded(_recorded(e.select("seq").distinct())).withColumn("err", A.response_error()).filter("err is not null").select("seq", "err")
+    ordered = numbered(d.repartitionByRange("seq").sortWithinPartitions("seq"), "position")
+    return ordered.select("position", F.concat(F.col("seq").cast("string"), F.lit(": "), "err").alias("error"))
 
 
 # -- discovery ---------------------------------------------------------------------------------
