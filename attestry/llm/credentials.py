@@ -349,6 +349,7 @@ def find(evidence: DataFrame) -> DataFrame:
 
 def redact(evidence: DataFrame, mark: str = "REDACTED") -> DataFrame:
     """All columns and rows of evidence, with the credentials in source and imports replaced by mark; adds n_redacted."""
+    evidence = evidence.drop("n_redacted")
     schema = T.StructType([*evidence.schema.fields, T.StructField("n_redacted", T.IntegerType())])
     names = evidence.columns
 

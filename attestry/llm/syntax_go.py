@@ -76,14 +76,18 @@ def trailed(x, sep: str = ",") -> tuple:
 
 
 def _expressions(suffix: str, literals: bool) -> dict[str, object]:
-    """Expressions; in headers of statements a literal's type may not be a bare name."""
+    """Expressions; in headers of statements a literal's type may not be a bare name.
+
+    Every type is an expression here too (a literal type, a starred or bracketed name), so that
+    arguments, indices and cases need no second choice and deep nesting stays one chain.
+    """
     e = lambda x: x + suffix
     named = [("ident", ("?", ". ident"), ("?", "TypeArgs"), "LiteralValue")] if literals else []
     return {
         e("Expr"): (e("Unary"), ("*", ("BinaryOp", e("Unary")))),
         e("Unary"): (("*", "UnaryOp"), e("Primary")),
         e("Primary"): ([e("Operand"), *named], ("*", "Suffix")),
-        e("Operand"): ["lit", "str", "ident", ("(", ["Expr", "Type"], ")"), ("func", "Signature", ("?", "Block")), ("TypeLit", ("?", "LiteralValue"))],
+        e("Operand"): ["lit", "str", "ident", ("(", "Expr", ")"), ("func", "Signature", ("?", "Block")), ("TypeLit", ("?", "LiteralValue"))],
         e("Exprs"): listed(e("Expr")),
         e("Simple"): [(e("Exprs"), ("?", (["=", "assign"], e("Exprs")))), (listed("ident"), ":=", e("Exprs")), (e("Expr"), "incdec"), (e("Expr"), "<-", e("Expr"))],
     }
@@ -129,8 +133,8 @@ RULES: dict[str, object] = {
     "UnaryOp": ["+", "-", "!", "^", "star", "&", "<-"],
     "Suffix": [
         (".", ["ident", ("(", ["Type", "type"], ")")]),
-        ("[", [trailed(["Expr", "Type"]), (("?", "Expr"), ":", ("?", "Expr"), ("?", (":", "Expr")))], "]"),
-        ("(", ("?", (listed(["Expr", "Type"]), ("?", "..."), ("?", ","))), ")"),
+        ("[", [trailed("Expr"), (("?", "Expr"), ":", ("?", "Expr"), ("?", (":", "Expr")))], "]"),
+        ("(", ("?", (listed("Expr"), ("?", "..."), ("?", ","))), ")"),
     ],
     "LiteralValue": ("{", ("?", trailed((["Expr", "LiteralValue"], ("?", (":", ["Expr", "LiteralValue"]))))), "}"),
     "Block": ("{", "Stmts", "}"),
@@ -141,7 +145,7 @@ RULES: dict[str, object] = {
     ],
     "If": ("if", ("?", (("?", "SimpleH"), ";")), "ExprH", "Block", ("?", ("else", ["If", "Block"]))),
     "Switch": ("switch", ("?", (("?", "SimpleH"), ";")), ("?", "SimpleH"), "{", ("*", "Case"), "}"),
-    "Case": ([("case", listed(["Expr", "Type"])), "default"], ":", "Stmts"),
+    "Case": ([("case", listed("Expr")), "default"], ":", "Stmts"),
     "Select": ("select {", ("*", ([("case", "Simple"), "default"], ":", "Stmts")), "}"),
     "For": (
         "for",
