@@ -57,8 +57,9 @@ COUNTS = {
     "digits": "char_length(regexp_replace(b, '[^0-9]+', ''))",
     "words": r"size(split(b, '\\s+'))",
     "cells": r"size(split(b, '[|]|</?t[drh]|[&]|\\\\\\\\')) - 1",
-    "stops": rf"size(split(b, '[ \n]{_trie(COMMON)}(?=[ \n,.])')) - 1",
 }
+#: Occurrences of the common words as whole words in any letter case; neighbours that are letters, marks, digits or _ make another word.
+STOPS = rf"size(split(lower(b), '(?<![\\p{{L}}\\p{{M}}\\p{{N}}_]){_trie(COMMON)}(?![\\p{{L}}\\p{{M}}\\p{{N}}_])')) - 1"
 FEATURES = {
     "line_len": "chars / lines",
     "word_len": "n / (words + cells)",
@@ -174,11 +175,11 @@ def kinds(documents: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def statistics(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """Per document, over its whole text: words, mean word length, symbol and digit ratio, lines, share of lines
-    that end in sentence punctuation, share of bullet lines, share of common words."""
+    that end in sentence punctuation, share of bullet lines, occurrences of common words per word."""
     docs = spread(documents.select(key, F.regexp_replace("text", "\r\n?", "\n").alias("b")))
     full = docs.withColumn("b", F.coalesce("b", F.lit("")))
     c = full.select(key, *[F.expr(v).alias(k) for k, v in (COUNTS | {"words": r"char_length(regexp_replace(regexp_replace(b, '\\S+', 'x'), '\\s+', ''))"}).items()],
-                    F.expr(FEATURES["end_share"].rpartition(" / ")[0]).alias("ends"), F.expr(FEATURES["marker_share"].rpartition(" / ")[0]).alias("marks"))
+                    F.expr(FEATURES["end_share"].rpartition(" / ")[0]).alias("ends"), F.expr(FEATURES["marker_share"].rpartition(" / ")[0]).alias("marks"), F.expr(STOPS).alias("stops"))
     ratio = lambda a, b: F.coalesce(F.try_divide(a, F.col(b)), F.lit(0.0))
     return c.select(
         key, F.col("words").cast("bigint").alias("n_words"), ratio(F.col("n"), "words").alias("mean_word_length"), ratio(F.col("n") - F.col("letters") - F.col("digits"), "n").alias("symbol_ratio"),

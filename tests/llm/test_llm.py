@@ -259,6 +259,17 @@ def test_kinds_of_containers(spark):
     assert stats[5].n_words == 0 and stats[6].n_lines == 0 and stats[4].n_words == 19 and stats[4].punctuated_share == 1.0
 
 
+def test_common_words_are_counted_whole_in_any_case_and_place(spark):
+    import re
+
+    texts = ["The end", "is it", "We (the few) said \"that\"; who? all!", "a\tthe\tb: und", "Der Hund, die Katze\nLe chat", "to-be or not.", "The the THE", "then these_the the1 1the isn't", "está más él élan où fürs für", "the", "andand and", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.common_share for r in quality.statistics(df).collect()}
+    for i, t in enumerate(texts):
+        hits = sum(w in quality.COMMON for w in re.findall(r"\w+", t.lower()))
+        assert got[i] == pytest.approx(hits / max(1, len(t.split()))), t
+
+
 # -- queries -------------------------------------------------------------------------------------
 def test_queries_against_sql(spark, sf):
     from attestry.llm import queries as q
