@@ -56,7 +56,7 @@ COUNTS = {
     "letters": r"char_length(regexp_replace(b, '\\P{L}+', ''))",
     "digits": "char_length(regexp_replace(b, '[^0-9]+', ''))",
     "words": r"size(split(b, '\\s+'))",
-    "cells": r"size(split(b, '[|]|</?t[drh]|[&]|\\\\\\\\')) - 1",
+    "cells": r"size(split(b, '</?t[drh]\\b|\\\\\\\\(?=\\s|$)|\\|(?=[ -])|(?<=[ -])\\|')) - 1",
 }
 #: Occurrences of the common words as whole words in any letter case; neighbours that are letters, marks, digits or _ make another word.
 STOPS = rf"size(split(lower(b), '(?<![\\p{{L}}\\p{{M}}\\p{{N}}_]){_trie(COMMON)}(?![\\p{{L}}\\p{{M}}\\p{{N}}_])')) - 1"
@@ -67,6 +67,7 @@ FEATURES = {
     "letter_share": "letters / n",
     "digit_share": "digits / n",
     "symbol_share": "(n - letters - digits) / n",
+    "common_share": f"({STOPS}) / words",
     "marker_share": r"(size(split(b, '(?m)^[ \\t]*(?:[-*+\\u2022] (?:\\[[ xX]\\] )?|\\(?[0-9]{1,3}[.)] |\\(?[a-z][.)] )(?=\\S)')) - 1) / lines",
     "n_lines": "lines",
     "heading_share": r"(size(split(b, '(?m)^#{1,6} ')) - 1) / lines",

@@ -270,6 +270,16 @@ def test_common_words_are_counted_whole_in_any_case_and_place(spark):
         assert got[i] == pytest.approx(hits / max(1, len(t.split()))), t
 
 
+def test_rules_may_use_common_words_and_whole_cell_marks(spark):
+    df = spark.createDataFrame([(1, "The one <three> | a || b & c"), (2, "<td>x</td> | y")], "doc_id long, b string")
+    one, two = quality.with_statistics(df).orderBy("doc_id").collect()
+    assert (one.cells, two.cells) == (3, 3) and one.common_share == pytest.approx(1 / 9)
+    path = "# %% [markdown]\n# # retry storms\n\n# Output:\n<path d=\"M40.03,65.73 " + " ".join(f"{i * 7 % 800}.{i % 90 + 10},{i * 13 % 600}.{i % 80 + 10}" for i in range(900)) + 'z"/>\n'
+    words = "# %% [markdown]\n# # Missing queue delays\n\n# %% [markdown]\n# なぜ系列に穴が多いのかはまだ分かりませんが、明日もう一度調べます。試してみたい人は、ファイルと少しの根気だけあれば十分です。なぜ系列に穴が多いのかはまだ分かりませんが、明日もう一度調べます。"
+    docs = spark.createDataFrame([(1, path), (2, words)], "doc_id long, text string")
+    assert {r.doc_id: r.kind for r in quality.kinds(docs).collect()} == {1: "junk"}
+
+
 # -- queries -------------------------------------------------------------------------------------
 def test_queries_against_sql(spark, sf):
     from attestry.llm import queries as q
