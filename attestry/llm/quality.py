@@ -33,7 +33,7 @@ COMMON = (
 ).split()
 
 # What each part of a notebook is read as: code has no kind, text is judged.
-NOTEBOOK = "cells array<struct<cell_type: string, source: array<string>, outputs: array<struct<text: array<string>, traceback: array<string>, data: map<string, string>>>>>"
+NOTEBOOK = "cells array<struct<cell_type: string, source: variant, outputs: array<struct<text: variant, traceback: variant, data: map<string, variant>>>>>"
 CODE, TEXT = "code", "text"
 #: White space and marks that may stand before a container.
 LEADING = " \t\n\x0b\x0c\x85\xa0\u3000\u2028\u2029\ufeff"
@@ -122,12 +122,15 @@ def fitted_rules(spark: SparkSession, seed: int = 11, per_family: int = quality_
 
 def _parts(text: str = "t") -> str:
     """SQL: array<struct<role, b>> of a document's text with one form of line ends."""
+    # nbformat allows a list of strings or one string; a variant tells a list from a string that looks like one
+    of = lambda v, sep="": f"coalesce(array_join(try_variant_get({v}, '$', 'array<string>'), '{sep}'), try_variant_get({v}, '$', 'string'))"
+    newline = of("o.traceback", r"\n")
     notebook = f"""
       filter(flatten(transform(nb.cells, c -> concat(
-        array(struct(if(c.cell_type = 'code', '{CODE}', '{TEXT}') as role, array_join(c.source, '') as b)),
+        array(struct(if(c.cell_type = 'code', '{CODE}', '{TEXT}') as role, {of('c.source')} as b)),
         flatten(transform(coalesce(c.outputs, array()), o -> concat(
-          array(struct('{TEXT}' as role, array_join(o.text, '') as b), struct('{CODE}' as role, array_join(o.traceback, '\\n') as b)),
-          transform(coalesce(map_values(o.data), array()), v -> struct('{TEXT}' as role, v as b)))))))), p -> p.b is not null)"""
+          array(struct('{TEXT}' as role, {of('o.text')} as b), struct('{CODE}' as role, {newline} as b)),
+          transform(coalesce(map_values(o.data), array()), v -> struct('{TEXT}' as role, {of('v')} as b)))))))), p -> p.b is not null)"""
     # A script's cells: the text before the first marker, markdown without its comment signs, code, outputs.
     script = rf"""
       filter(transform(split({text}, '(?m)^(?=# %%|# Output:)'), (p, i) -> case

@@ -280,6 +280,19 @@ def test_rules_may_use_common_words_and_whole_cell_marks(spark):
     assert {r.doc_id: r.kind for r in quality.kinds(docs).collect()} == {1: "junk"}
 
 
+def test_notebook_parts_as_one_string_or_as_a_list(spark):
+    import json
+
+    def parts(**cell):
+        nb = json.dumps({"cells": [{"cell_type": "code", "source": [], "outputs": []} | cell]})
+        return sorted((r.role, r.b) for r in quality.blocks_of(spark.createDataFrame([(1, nb)], "doc_id long, text string")).collect())
+
+    assert parts(source="[1, 2]\nx = 1") == parts(source=["[1, 2]\n", "x = 1"]) == [("code", "[1, 2]\nx = 1")]
+    out = [("code", "u\nv"), ("text", "['a', 'b']\nc"), ("text", "a | b\nc | d")]
+    assert parts(outputs=[{"text": "['a', 'b']\nc", "traceback": "u\nv", "data": {"text/plain": ["a | b\n", "c | d"]}}]) == out
+    assert parts(outputs=[{"text": ["['a', 'b']\n", "c"], "traceback": ["u", "v"], "data": {"text/plain": "a | b\nc | d"}}]) == out
+
+
 # -- queries -------------------------------------------------------------------------------------
 def test_queries_against_sql(spark, sf):
     from attestry.llm import queries as q
