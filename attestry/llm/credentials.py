@@ -73,6 +73,9 @@ SHAPES = re.compile(
 )
 PRIVATE_KEY = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:[\s\S]*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)?")
 
+# Certificates, public keys and the like: no credentials, but what stands beside them may be one.
+PUBLIC_BLOCK = re.compile(r"-----BEGIN (?![A-Z0-9 ]*PRIVATE KEY)[A-Z0-9 ]+-----(?:[\s\S]*?-----END (?![A-Z0-9 ]*PRIVATE KEY)[A-Z0-9 ]+-----|(?:\s|\\[nrt]|[A-Za-z0-9+/=])*)")
+
 TOKEN = re.compile(
     r"""(?P<comment>//[^\n]*|/\*[\s\S]*?(?:\*/|\Z))
     |(?P<raw>\"{3}[\s\S]*?(?:\"{3,}|\Z)|`[^`]*(?:`|\Z))
@@ -136,8 +139,8 @@ def in_text(text: str, base: int, out: list[tuple[int, int]]) -> None:
         return
     for m in PRIVATE_KEY.finditer(text):
         out.append((base + m.start(), base + m.end()))
-    if "PRIVATE KEY-----" not in text and "-----BEGIN" in text:
-        return
+    if "-----BEGIN" in text:
+        text = PUBLIC_BLOCK.sub(lambda m: '"' * len(m.group()), text)  # no notation's value holds a quote
     for m in SHAPES.finditer(text):
         if not placeholder(m.group()):
             out.append((base + m.start(), base + m.end()))
