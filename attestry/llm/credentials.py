@@ -92,7 +92,7 @@ USERINFO = re.compile(r"""[a-zA-Z][a-zA-Z0-9+.\-]*://[^\s/:@"'`]*:(?P<v>[^\s/@"'
 LINK = re.compile(r"""[?&](?:sig|signature|token|access_token|auth_token|secret|(?:api_?)?key|x-amz-signature|sas)=(?P<v>[^\s"'`&#]{12,})""", re.I)
 HOOK = re.compile(r"""https?://hooks?\.[^\s"'`/]+/(?P<v>(?:[\w\-]+/)*[\w\-]{16,})|https?://[^\s"'`]+/(?:web)?hooks?/(?P<w>(?:[\w\-]+/)*[\w\-]{20,})""", re.I)
 SCHEME = re.compile(r"""\b(?P<s>basic|bearer|token)[ ]+(?P<v>[A-Za-z0-9+/=._~\-]{8,})""", re.I)
-TRIGGER = re.compile(r"(?i)pass|pwd|secret|token|key|cred|auth|pin\b|otp|pat\b|://|bearer|basic|AKIA|ASIA|AIza|glpat|gh[opsur]_|npm_|pypi-|xox|_live_|_prod_|SG\.|dop_v1|hvs\.|shpat|eyJ|login|connect|-[upa][ ]|hook|pw\b")
+TRIGGER = re.compile(r"(?i)pass|pwd|secret|token|key|cred|auth|(?:pin|pat|pw)(?:(?![a-z])|(?-i:[A-Z]))|(?-i:PIN|PAT|PW)|otp|://|bearer|basic|AKIA|ASIA|AIza|glpat|gh[opsur]_|npm_|pypi-|xox|_live_|_prod_|SG\.|dop_v1|hvs\.|shpat|eyJ|log_?in|sign_?in|connect|(?<![\w\-])-[upa]|--?user|hook|sig=|signature=|sas=")
 
 PASSING = re.compile(r"(?i)^(?:decode\w*|fromBase64\w*|b64decode|listOf|arrayOf|of|join\w*|byte|bytes|string|toByteArray|trim\w*|concat|format|secret\w*string|Secret|Some|ptr|pointer|stringptr)$")
 LOGIN = re.compile(r"(?i)^(?:log_?in\w*|sign_?in\w*|authenticate\w*|basic_?auth\w*|set_?basic_?auth|get_?connection|connect\w*|with_?credentials|credentials|userpass\w*)$")
