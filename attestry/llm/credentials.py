@@ -115,6 +115,12 @@ def names_credential(name: str) -> bool:
     return words[-1].startswith("password") or words[-1].endswith(("password", "secret", "token", "apikey"))
 
 
+def names_phrase(name: str) -> bool:
+    """Whether a name's last word says that its value may be several words."""
+    words = re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", name)
+    return bool(words) and words[-1].lower() in ("passphrase", "password", "secret") and names_credential(name)
+
+
 def placeholder(value: str) -> bool:
     """Whether a value stands for another one, or for none."""
     v = value.strip()
@@ -230,11 +236,12 @@ def spans(source: str) -> list[tuple[int, int]]:
             passed = call and KEYED.match(call[0]) and not key and len(call[2]) > 1 and call[2][-2][0]
             named = name and names_credential(name) or call and SETTER.match(call[0]) and names_credential(SETTER.sub("", call[0]))
             named = named or passed and names_credential(passed) and re.fullmatch(r"[\w.\-]+", passed)
+            phrase = any(names_phrase(x) for x in (name, SETTER.sub("", call[0]) if call and SETTER.match(call[0]) else "", passed or "") if x)
             if nxt in (":",) or nxt == "to" or nxt == "]":
                 key = value if nxt != "]" else ""
                 if nxt == "]":
                     names = [value]
-            elif named and not found and not placeholder(value) and not re.search(r"\s", value.strip()) and "-----BEGIN" not in value:
+            elif named and not found and not placeholder(value) and not re.search(r"[^\S ]" if phrase else r"\s", value.strip()) and "-----BEGIN" not in value:
                 found = [(0, len(value))]
             if found:
                 if len(parts) == 1:

@@ -215,6 +215,11 @@ HINTED = [
 def test_the_prefilter_passes_what_the_scanners_flag(line):
     assert credentials.TRIGGER.search(line) and credentials.spans(line)
 
+@pytest.mark.parametrize("line", ['passphrase := "correct horse battery 9 staple"', 'val dbPassword = "correct horse battery 9 staple"', 'c.SetSecret("correct horse battery 9 staple")'])
+def test_named_phrases(line):
+    assert [line[a:b] for a, b in credentials.spans(line)] == ["correct horse battery 9 staple"]
+    assert not credentials.spans('password := "your new password"') and not credentials.spans('token := "invalid or missing header 1"')
+
 # -- p3 ------------------------------------------------------------------------------------------
 GO = 'package p\n\nimport "testing"\n\nfunc TestX[T any](t *testing.T) {\n\tfor _, c := range []struct{ a, b int }{{1, 2}} {\n\t\tif v, ok := m[c.a]; ok && v == (T{}) {\n\t\t\tt.Run("x", func(t *testing.T) { ch <- <-in; x++ })\n\t\t}\n\t}\n\tswitch y := z.(type) {\n\tcase []int, nil:\n\t\tgoto end\n\t}\nend:\n}\n'
 KT = 'package a.b\n\nimport c.*\n\n@Tag("x")\nclass A<T : Any>(private val n: Int = 1) : B(n), C by d where T : E {\n    companion object { const val X = 1 }\n    fun <R> List<R>.f(a: Int, vararg b: (Int) -> R?): R = when (a) {\n        1, 2 -> b[0](a)!!\n        in 3..4 -> { "x ${if (a > 1) "y" else "z"} $n" }\n        is Int -> try { g() } catch (e: Exception) { throw e }\n        else -> run { return@run it ?: x as? Y }\n    }\n\n    var p by lazy { 1 }\n        private set\n}\nenum class E(val v: Int) { A(1), B(2); fun z() = v }\n'
