@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attestry.functions.text import folded, repository_key
+from attestry.llm.consensus import label_of
 from attestry.llm.cutoffs import current_versions
 from attestry.runtime import discard, join_hot, materialize, table
 
@@ -109,12 +110,13 @@ def _pack(rows: list, labels: list[str], share: dict[str, float]) -> dict[tuple[
 def assign(records: DataFrame, links: DataFrame, proportions: dict[str, float] | None = None, label: str = "human_primary", strata: tuple[str, ...] = (), seed: int = 7) -> DataFrame:
     """(id, grp, label, split): every current record in a split, groups whole, labels in proportion.
 
+    A written form of a label of the vocabulary counts as that label; any other value is only folded.
     strata: the label values balanced one by one (a bounded list); all others count as one more.
     """
     spark = records.sparkSession
     share = proportions or PROPORTIONS
     share = {s: p / sum(share.values()) for s, p in share.items()}
-    current = current_versions(records, "repository", label).select("id", repository_key(F.col("repository")).alias("repository"), folded(F.col(label)).alias("label"))
+    current = current_versions(records, "repository", label).select("id", repository_key(F.col("repository")).alias("repository"), F.coalesce(label_of(F.col(label)), folded(F.col(label))).alias("label"))
     grp = repository_groups(records, links, with_records=True)
     placed = join_hot(current, grp, ["repository"], grp.count(), "left").select("id", F.coalesce("grp", "repository", F.concat(F.lit("\tid "), "id")).alias("grp"), "label")
     placed = materialize(placed, "placed")

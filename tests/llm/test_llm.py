@@ -121,6 +121,17 @@ def test_assignment_keeps_groups_whole(spark, sf):
     assert placed.count() == placed.select("id").distinct().count()
 
 
+def test_written_forms_are_balanced_as_their_label(spark):
+    import datetime as dt
+
+    forms = ["Unit", "unit-test", "UnitTest", " unit tests", "e2e", "End To End", "made up", None]
+    rows = [(f"i{i}", f"o/r{i}", f, dt.datetime(2024, 1, 1)) for i, f in enumerate(forms)]
+    records = spark.createDataFrame(rows, "id string, repository string, human_primary string, recorded_at timestamp")
+    links = spark.createDataFrame([], "repository string, related_to string, relation string")
+    got = {r.id: r.label for r in splits.assign(records, links, strata=splits.PRIMARY).collect()}
+    assert [got[f"i{i}"] for i in range(8)] == ["unit"] * 4 + ["end_to_end"] * 2 + ["made up", None]
+
+
 # -- p1 ------------------------------------------------------------------------------------------
 def test_label_forms(spark):
     forms = {"Unit-Test": "unit", " E2E": "end_to_end", "endToEnd": "end_to_end", "End To End": "end_to_end", "perf": "performance", "integration/unit": None, "n/a": None, "": None, None: None, "SMOKE": "smoke"}
