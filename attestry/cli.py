@@ -45,7 +45,7 @@ def classify(spark: SparkSession, paths: list[str], recorded: str, include=(), e
     one = answers.groupBy("path", "qualified").agg(F.first("response").alias("response"))
     keyed = tests.join(one, ["path", "qualified"], "left").select("seq", "response")
     done = materialize(predictions(tests, RecordedProvider(keyed).responses(tests)), "predicted")
-    faults = done.filter("response_error is not null").select("path", "qualified", "response_error").orderBy("path", "qualified").limit(20).collect()
+    faults = done.filter("response_error is not null").select("path", "qualified", "response_error").orderBy("path", "qualified", "ord").collect()  # at most RUN_TESTS rows
     if faults:
         for f in faults:
             print(f"{f.path}::{f.qualified}: {f.response_error}", file=err)

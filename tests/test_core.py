@@ -329,6 +329,14 @@ def test_cli(spark, tmp_path):
     assert cli.main(["classify", "--recorded", "x", "--min-confidence", "0.5"]) == 2 and cli.main(["classify", "--recorded", "x", "--min-confidence", "2", "--min-margin", "0.5"]) == 2 and cli.main(["nothing"]) == 2
 
 
+def test_cli_reports_every_faulty_answer(spark, tmp_path):
+    (tmp_path / "a_test.go").write_text("package p\n" + "".join(f"\nfunc Test{25 - i:02}(t *testing.T) {{}}\n" for i in range(25)))
+    (tmp_path / "answers.json").write_text("".join(json.dumps({"test_id": f"a_test.go::Test{i:02}", "response": "no"}) + "\n" for i in range(26)))
+    out, err = io.StringIO(), io.StringIO()
+    assert cli.classify(spark, [str(tmp_path)], str(tmp_path / "answers.json"), out=out, err=err) == 1
+    assert [x.split(":: ")[0].split(": ")[0] for x in err.getvalue().splitlines()] == [f"a_test.go::Test{i:02}" for i in range(1, 26)]
+
+
 def test_stream(spark, tmp_path):
     from attestry.streaming.responses import response_stream
 
