@@ -98,11 +98,6 @@ def _remove(spark: SparkSession, path: str) -> None:
             shutil.rmtree(local, ignore_errors=True)
 
 
-def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int = 200) -> DataFrame:
-    """Broadcast hint if rows * row_bytes, counted beforehand, stays under BROADCAST_BYTES."""
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
-
-
 def spread(df: DataFrame) -> DataFrame:
     """For CPU-heavy steps: repartitions if the scan has fewer splits than the cluster has cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -112,21 +107,45 @@ def spread(df: DataFrame) -> DataFrame:
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-#: Copies of the small side, and salts of the large one, where a join can't be broadcast.
-SALTS = 16
+#: A key is hot if it holds at least 1/HOT_SHARE of the rows, so there are at most HOT_SHARE hot keys.
+HOT_SHARE = 1000
+
+
+def measured(df: DataFrame) -> int:
+    """Bytes of df's rows as a broadcast holds them, from the values themselves; one row per partition is moved."""
+    fixed = {"tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "date", "timestamp", "timestamp_ntz"}
+    size = F.lit(16)
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        text = c if kind in ("string", "binary") else F.to_json(F.struct(c))
+        size = size + (F.lit(8) if kind in fixed else F.coalesce(F.octet_length(text), F.lit(0)) + 24)
+    return df.agg(F.sum(size.cast("bigint"))).first()[0] or 0
+
+
+def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys with at least 1/HOT_SHARE of df's rows: at most HOT_SHARE rows, from counts made before their shuffle."""
+    n = df.count()
+    return df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") * HOT_SHARE >= n).select(*keys)
 
 
-def join_hot(big: DataFrame, small: DataFrame, keys: list[str], small_rows: int, how: str = "inner") -> DataFrame:
-    """Joins on keys of which one may hold a third of big's rows.
+def join_hot(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", small_bytes: int | None = None, hot: DataFrame | None = None) -> DataFrame:
+    """Joins ("inner" or "left") on keys of which one may hold a third of big's rows.
 
-    small (unique by keys, of counted size) is broadcast under BROADCAST_BYTES; beyond that
-    big is salted and small repeated SALTS times, so a hot key is spread over as many tasks.
+    small (unique by keys) is broadcast if its measured bytes are at most BROADCAST_BYTES. Beyond
+    that big's rows of hot keys, and those with a null key, are joined where they lie to the at
+    most HOT_SHARE rows of small that they can meet; only the others are shuffled by key. big is
+    read again for that, so it should be a table or a written step. A loop can pass small_bytes
+    and hot where they do not change.
     """
-    if small_rows * 200 <= BROADCAST_BYTES:
+    if (measured(small) if small_bytes is None else small_bytes) <= BROADCAST_BYTES:
         return big.join(F.broadcast(small), keys, how)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns if c not in keys] or [F.lit(0)]), F.lit(SALTS)).cast("int"))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    hot = hot_keys(big, keys) if hot is None else hot
+    marked = big.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
+    stays = F.coalesce("_hot", F.lit(False))
+    for k in keys:
+        stays = stays | F.col(k).isNull()
+    few = small.join(F.broadcast(hot), keys, "left_semi")
+    return marked.filter(stays).drop("_hot").join(F.broadcast(few), keys, how).unionByName(marked.filter(~stays).drop("_hot").join(small, keys, how))
 
 
 def numbered(df: DataFrame, name: str = "number") -> DataFrame:

@@ -23,7 +23,7 @@ from attestry.operators import evaluate as V
 from attestry.operators import report as R
 from attestry.operators import responses as A
 from attestry.plans import catalog
-from attestry.runtime import join_hot
+from attestry.runtime import hot_keys, join_hot, measured
 from attestry.sources import records
 
 
@@ -122,11 +122,21 @@ def test_repository_forms(spark):
     assert [r[0] for r in got] == ["o/n"] * len(forms) + [None, None]
 
 
-def test_join_hot_salted(spark, monkeypatch):
+def test_join_hot_beyond_the_broadcast(spark, monkeypatch):
     monkeypatch.setattr("attestry.runtime.BROADCAST_BYTES", 0)
-    big = spark.createDataFrame([("a", i) for i in range(200)] + [("b", 1), ("c", 2)], "k string, v int")
-    small = spark.createDataFrame([("a", 1), ("b", 2)], "k string, w int")
-    assert join_hot(big, small, ["k"], 2).count() == 201 and join_hot(big, small, ["k"], 2, "left").count() == 202
+    monkeypatch.setattr("attestry.runtime.HOT_SHARE", 10)
+    big = spark.createDataFrame([("a", i) for i in range(200)] + [("b", 1), ("c", 2), (None, 3), (None, 4)], "k string, v int")
+    small = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "k string, w int")
+    assert [r.k for r in hot_keys(big, ["k"]).collect()] == ["a"]
+    for how in ("inner", "left"):
+        got, want = join_hot(big, small, ["k"], how), big.join(small, ["k"], how)
+        assert got.columns == want.columns and got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    assert join_hot(big.limit(0), small, ["k"]).count() == 0 and join_hot(big, small.limit(0), ["k"], "left").count() == 204
+
+
+def test_measured_bytes_follow_the_values(spark):
+    df = spark.createDataFrame([("x" * 1000, 1, ["y" * 500]), (None, None, None)], "s string, n long, a array<string>")
+    assert 1500 < measured(df) < 2000 and measured(df.limit(0)) == 0
 
 
 # -- extraction ----------------------------------------------------------------------------------
