@@ -1,17 +1,21 @@
 """Problem 5: per source, the score cutoff that keeps a target fraction of its records.
 
 Method: distributed quickselect. A source's cutoff is its k-th highest score, k the target
-rank. Each round takes, for each source still open, the median of its scores in every Arrow
-batch of every partition (one row per source and batch, made where the data lie), and their
-median weighted by the batches' counts as pivot. Counting the scores above and at the pivot
-discards one side; the open scores are written anew, so all rounds together read about twice
-the scores of the open sources. A source with at most DIRECT open scores is ranked directly,
-which isolates its target rank.
+rank. A pass over the open scores prepares HALVINGS halvings at once: in every Arrow batch, of
+each source, the median, the medians of both halves, of the quarters and so on; per place in
+this order the median of a task's batches weighted by their counts, and of these the median
+weighted over all tasks, are the source's pivots (2^HALVINGS - 1 at most, one row per source and
+task is moved). Scores are then counted between and at the pivots, all counts but those of the
+interval with the target rank are discarded, and the interval's scores are written anew for the
+next pass. A pass leaves about 2^-HALVINGS of a source's scores, so a source of n takes about
+log2(n) / HALVINGS passes; it ends when a pivot has the target rank. All sources go through the
+same passes; there is no other way to a cutoff, whatever a source's size.
 
 Cases: the current version of an id is its row of the latest recorded_at (a null time is the
 earliest, tying rows are equal); rows without an id are left out. A target above 100 percent
 keeps nothing, one of 0 or less keeps the highest score with its ties; sources without a
-target have a null cutoff and keep nothing; repeated target rows of one key use the largest.
+target have a null cutoff and keep nothing; repeated target rows of one key use the largest;
+a target counts with four decimals.
 Ties at the cutoff are all kept. An empty table gives an empty result.
 """
 
@@ -25,10 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.functions.text import folded, repository_key
-from attestry.runtime import discard, join_hot, materialize, table
+from attestry.runtime import discard, join_hot, materialize, measured, table
 
-#: Sources with no more open scores than this are ranked in one window each.
-DIRECT = 4096
+#: Halvings prepared by one pass: up to 2^HALVINGS - 1 pivots per source.
+HALVINGS = 4
 KEYS = ["repository", "language"]
 
 
@@ -51,89 +55,118 @@ def counted(records: DataFrame) -> DataFrame:
 
 def target_ranks(counts: DataFrame, targets: DataFrame) -> DataFrame:
     """counts (repository, language, n) with target_percent and the rank k of the cutoff; k > n: none."""
-    t = targets.select(repository_key(F.col("repository")).alias("repository"), folded(F.col("language")).alias("language"), F.col("target_percent").cast("bigint").alias("t"))
+    t = targets.select(repository_key(F.col("repository")).alias("repository"), folded(F.col("language")).alias("language"), F.col("target_percent").cast("decimal(12,4)").alias("t"))
     own = t.filter("repository is not null").groupBy(*KEYS).agg(F.max("t").alias("own"))
     default = t.filter("repository is null").groupBy("language").agg(F.max("t").alias("default"))
     return (
         counts.join(own, KEYS, "left").join(default, "language", "left")
         .withColumn("target_percent", F.coalesce("own", "default"))
-        # in whole numbers: the smallest k with 100 k >= target n
-        .withColumn("k", F.greatest(F.lit(1), F.expr("(target_percent * n + 99) div 100")).cast("bigint"))
+        # in exact decimals: the smallest k with 100 k >= target n
+        .withColumn("k", F.expr("if(target_percent is null, null, greatest(1, cast(ceil(target_percent * n / 100) as bigint)))"))
         .select(*KEYS, "n", "target_percent", "k")
     )
 
 
-def _batch_medians(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in it:
-        if len(pdf):
-            g = pdf.groupby(KEYS, sort=False)["confidence"]
-            yield g.agg(median=lambda x: np.partition(x.to_numpy(), (len(x) - 1) // 2)[(len(x) - 1) // 2], weight="size").reset_index()
+def _medians(v: np.ndarray, depth: int) -> list[float]:
+    """Of sorted values the median, then those of the lower and the upper half, and so on: 2^depth - 1 places."""
+    spans, out = [(0, len(v))], []
+    for _ in range(depth):
+        out += [v[(lo + hi - 1) // 2] if hi > lo else np.nan for lo, hi in spans]
+        spans = [half for lo, hi in spans for half in ((lo, (lo + hi - 1) // 2 if hi > lo else lo), ((lo + hi - 1) // 2 + 1 if hi > lo else lo, hi))]
+    return out
+
 
+def _task_medians(depth: int):
+    """Per source and place of the halvings the median of the task's batches, weighted by their counts.
+
+    A task keeps 2^depth numbers per source and batch, not the scores.
+    """
 
-def select_ranks(scores: DataFrame, ranks: DataFrame, direct: int = DIRECT) -> DataFrame:
+    def over(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[tuple, list[tuple[int, list[float]]]] = {}
+        for pdf in it:
+            for key, v in pdf.groupby(KEYS, sort=False)["confidence"]:
+                seen.setdefault(key, []).append((len(v), _medians(np.sort(v.to_numpy()), depth)))
+        rows = []
+        for key, batches in seen.items():
+            n, places = np.array([b[0] for b in batches]), np.array([b[1] for b in batches])
+            row = []
+            for v in places.T:
+                known = ~np.isnan(v)
+                if not known.any():
+                    row.append(None)
+                    continue
+                at = np.argsort(v[known], kind="stable")
+                upto = np.cumsum(n[known][at])
+                row.append(float(v[known][at][np.searchsorted(upto, upto[-1] / 2)]))
+            rows.append((*key, int(n.sum()), *row))
+        yield pd.DataFrame(rows, columns=[*KEYS, "weight", *[f"m{i}" for i in range(2**depth - 1)]]).astype({f"m{i}": float for i in range(2**depth - 1)})
+
+    return over
+
+
+def select_ranks(scores: DataFrame, ranks: DataFrame, halvings: int = HALVINGS, passes: list[int] | None = None) -> DataFrame:
     """(repository, language, cutoff): of each source the k-th highest of its scores.
 
-    scores: (repository, language, confidence); ranks: (repository, language, n, k), 1 <= k <= n.
+    scores: (repository, language, confidence); ranks: (repository, language, n, k), 1 <= k <= n,
+    a written step. passes, if given, gets the number of open sources of each pass.
     """
-    spark = scores.sparkSession
-    ranks = materialize(ranks.select(*KEYS, "n", "k"), "ranks")
-    n_small = ranks.filter(F.col("n") <= direct).count()
-    n_open = ranks.filter(F.col("n") > direct).count()
-    small = join_hot(scores, ranks.filter(F.col("n") <= direct).select(*KEYS, "k"), KEYS, n_small)
-    state = ranks.filter(F.col("n") > direct)
-    open_scores = scores.select(*KEYS, "confidence")
-    found, ranked, spent = [], [small.select(*KEYS, "confidence", "k")], []
-    while n_open:
-        open_scores = materialize(join_hot(open_scores, state.select(*KEYS, *[c for c in ("pivot", "side") if c in state.columns]), KEYS, n_open).filter(
-            "case side when 'above' then confidence > pivot else confidence < pivot end" if "side" in state.columns else "true"
-        ).select(*KEYS, "confidence"), "open")
-        spent.append(open_scores)
-        state = state.select(*KEYS, "n", "k")
-        few = state.filter(F.col("n") <= direct)
-        n_few = few.count()
-        if n_few:
-            ranked.append(join_hot(open_scores, few.select(*KEYS, "k"), KEYS, n_few).select(*KEYS, "confidence", "k"))
-        state = state.filter(F.col("n") > direct)
-        n_open -= n_few
-        if not n_open:
-            break
-        medians = join_hot(open_scores, state.select(*KEYS), KEYS, n_open).mapInPandas(_batch_medians, "repository string, language string, median double, weight bigint")
-        pivots = medians.groupBy(*KEYS).agg(F.percentile("median", F.lit(0.5), F.col("weight")).alias("pivot"))
-        counts = (
-            join_hot(open_scores, pivots, KEYS, n_open).groupBy(*KEYS)
-            .agg(F.first("pivot").alias("pivot"), F.count_if(F.col("confidence") > F.col("pivot")).alias("above"), F.count_if(F.col("confidence") == F.col("pivot")).alias("at"))
-        )
-        step = materialize(state.join(counts, KEYS).withColumn("side", F.expr("case when k <= above then 'above' when k <= above + at then 'at' else 'below' end")), "pivots")
-        found.append(step.filter("side = 'at'").select(*KEYS, F.col("pivot").alias("cutoff")))
-        state = step.filter("side <> 'at'").select(
-            *KEYS, F.expr("case side when 'above' then above else n - above - at end").alias("n"),
-            F.expr("case side when 'above' then k else k - above - at end").alias("k"), "pivot", "side",
+    width = 2**halvings - 1
+    # a known median is no NaN; places without one are null and count for nothing
+    medians = F.expr("array(" + ", ".join(f"percentile(nanvl(m{i}, null), 0.5D, weight)" for i in range(width)) + ")")
+    counted_slots = F.expr("array(" + ", ".join(f"count_if(slot = {i})" for i in range(2 * width + 1)) + ")")
+    schema = "repository string, language string, weight bigint, " + ", ".join(f"m{i} double" for i in range(width))
+    state = ranks.select(*KEYS, "k", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
+    keys_size = measured(ranks.select(*KEYS))
+    open_scores, found, spent = scores.select(*KEYS, "confidence"), [], []
+    inside = "(low is null or confidence > low) and (high is null or confidence < high)"
+    while n_open := state.count():
+        if passes is not None:
+            passes.append(n_open)
+        size = keys_size + n_open * 8 * (width + 8)  # of what is joined to the scores: keys, k and at most width numbers
+        open_scores = join_hot(open_scores, state.select(*KEYS, "low", "high"), KEYS, small_bytes=size).filter(inside).select(*KEYS, "confidence")
+        if found:  # the first pass reads the scores as they stand
+            open_scores = materialize(open_scores, "open")
+            spent.append(open_scores)
+        pivots = open_scores.mapInPandas(_task_medians(halvings), schema).groupBy(*KEYS).agg(F.sort_array(F.array_distinct(F.array_compact(medians)), asc=False).alias("pivots"))
+        pivots = materialize(join_hot(pivots, state.select(*KEYS, "k"), KEYS, small_bytes=size), "pivots")
+        # slot 2 i: between pivots i - 1 and i (from the top); slot 2 i + 1: at pivot i
+        above = F.size(F.filter("pivots", lambda p: p > F.col("confidence")))
+        slot = 2 * above + F.coalesce(F.get("pivots", above) == F.col("confidence"), F.lit(False)).cast("int")
+        slots = join_hot(open_scores, pivots.select(*KEYS, "pivots"), KEYS, small_bytes=size).select(*KEYS, slot.alias("slot"))
+        counts = slots.groupBy(*KEYS).agg(counted_slots.alias("counts"))
+        upto = F.aggregate(
+            "counts", F.struct(F.lit(-1).alias("slot"), F.lit(0).cast("bigint").alias("before"), F.lit(0).cast("bigint").alias("upto")),
+            lambda a, c: F.when(a["upto"] >= F.col("k"), a).otherwise(F.struct((a["slot"] + 1).alias("slot"), a["upto"].alias("before"), (a["upto"] + c).alias("upto"))),
         )
-        n_open = state.count()
-    rest = None
-    for r in ranked:
-        rest = r if rest is None else rest.unionByName(r)
-    spark_rank = F.expr("row_number() over (partition by repository, language order by confidence desc)")
-    out = rest.withColumn("_r", spark_rank).filter("_r = k").select(*KEYS, F.col("confidence").alias("cutoff"))
-    for f in found:
-        out = out.unionByName(f)
-    out = materialize(out, "cutoffs")
+        # explode of one keeps the result a column, so the counts are walked once
+        at = join_hot(counts, pivots, KEYS, small_bytes=size).select(*KEYS, "k", "pivots", F.explode(F.array(upto)).alias("at"))
+        i = F.expr("at.slot div 2").cast("int")
+        step = materialize(at.select(
+            *KEYS, (F.col("k") - F.col("at.before")).alias("k"), F.when(F.col("at.slot") % 2 == 1, F.get("pivots", i)).alias("cutoff"),
+            F.get("pivots", i).alias("low"), F.get("pivots", i - 1).alias("high"),
+        ), "step")
+        found.append(step.filter("cutoff is not null").select(*KEYS, "cutoff"))
+        state = step.filter("cutoff is null").select(*KEYS, "k", "low", "high")
     for s in spent:
         discard(s)
+    out = state.select(*KEYS, F.col("low").alias("cutoff"))  # no row
+    for f in found:
+        out = out.unionByName(f)
     return out
 
 
-def cutoffs(records: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """The counted records, (repository, language, n, target_percent, k, cutoff) of each source, and its row count."""
+def cutoffs(records: DataFrame, targets: DataFrame, passes: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The counted records, and (repository, language, n, target_percent, k, cutoff) of each source."""
     base = materialize(counted(records), "counted")
     ranks = materialize(target_ranks(base.groupBy(*KEYS).agg(F.count("*").alias("n")), targets), "targets")
-    chosen = select_ranks(base.select(*KEYS, "confidence"), ranks.filter("k <= n"))
-    return base, ranks.join(chosen, KEYS, "left"), ranks.count()
+    chosen = select_ranks(base, ranks.filter("k <= n"), passes=passes)
+    return base, ranks.join(chosen, KEYS, "left")
 
 
-def kept(records: DataFrame, targets: DataFrame) -> DataFrame:
-    base, found, n = cutoffs(records, targets)
-    return join_hot(base, found.select(*KEYS, "cutoff"), KEYS, n).filter("confidence >= cutoff").select("id", *KEYS, "confidence", "cutoff")
+def kept(records: DataFrame, targets: DataFrame, passes: list[int] | None = None) -> DataFrame:
+    base, found = cutoffs(records, targets, passes)
+    return join_hot(base, found.select(*KEYS, "cutoff"), KEYS).filter("confidence >= cutoff").select("id", *KEYS, "confidence", "cutoff")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,9 +175,9 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per source its cutoff, the counted records and the records kept."""
-    base, found, n = cutoffs(table(spark, sf_dir, "evaluation_records"), table(spark, sf_dir, "cutoff_targets"))
-    sizes = join_hot(base, found.select(*KEYS, "cutoff"), KEYS, n).filter("confidence >= cutoff").groupBy(*KEYS).agg(F.count("*").alias("n_kept"))
-    return found.join(sizes, KEYS, "left").select(*KEYS, "target_percent", F.col("n").alias("n_records"), "cutoff", F.coalesce("n_kept", F.lit(0)).alias("n_kept"))
+    base, found = cutoffs(table(spark, sf_dir, "evaluation_records"), table(spark, sf_dir, "cutoff_targets"))
+    sizes = join_hot(base, found.select(*KEYS, "cutoff"), KEYS).filter("confidence >= cutoff").groupBy(*KEYS).agg(F.count("*").alias("n_kept"))
+    return found.join(sizes, KEYS, "left").select(*KEYS, F.col("target_percent").cast("double").alias("target_percent"), F.col("n").alias("n_records"), "cutoff", F.coalesce("n_kept", F.lit(0)).alias("n_kept"))
 
 
 QUERIES = {"p5_found": p5_found, "p5_cutoffs": p5_cutoffs}
@@ -168,6 +201,6 @@ cut as (select repository, language, max(confidence) cutoff from ranked where 10
 """
 SQL = {
     "p5_found": _SQL + "select id from ranked join cut using (repository, language) where confidence >= cutoff",
-    "p5_cutoffs": _SQL + """select repository, language, cast(max(target_percent) as bigint) target_percent, max(n) n_records, max(cutoff) cutoff,
+    "p5_cutoffs": _SQL + """select repository, language, cast(max(target_percent) as double) target_percent, max(n) n_records, max(cutoff) cutoff,
   count(*) filter (where confidence >= cutoff) n_kept from ranked left join cut using (repository, language) group by 1, 2""",
 }

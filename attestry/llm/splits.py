@@ -6,10 +6,11 @@ then stratified assignment of whole groups to splits.
 Entities are repositories. Records are what names them: links (two entities each) and
 evaluation records (one; if versions of one id name several, all of these). A record with one
 entity can pass no label on, so only the others are carried through the rounds; the rest take
-their entity's label at the end. In a round each record takes the least label of its entities
-and each entity the least of its records, then every label is replaced by its own label
-(pointer jumping), so a chain of n links needs about log n rounds. A round's labels are written
-to the shared folder.
+their entity's label at the end. Entities are numbered once in the order of their names, so a
+label is a number and the least label is that of the least name. In a round each record takes
+the least label of its entities and each entity the least of its records, then every label is
+replaced by its own label (pointer jumping), so a chain of n links needs about log n rounds. A
+round's labels are written to the shared folder.
 
 Assignment: groups (never parts of them) are packed. The at most HEAD largest groups, those
 with at least 1/HEAD of the records, stand alone; all others fall by hash into BINS bins.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from attestry.functions.text import folded, repository_key
 from attestry.llm.consensus import label_of
 from attestry.llm.cutoffs import current_versions
-from attestry.runtime import discard, join_hot, materialize, table
+from attestry.runtime import BROADCAST_BYTES, hot_keys, join_hot, materialize, measured, numbered, table
 
 # The relations that do not make two repositories one.
 UNRELATED = ("depends_on", "cites")
@@ -40,36 +41,46 @@ HEAD, BINS, ROUNDS = 1000, 2048, 60
 
 
 def link_edges(links: DataFrame) -> DataFrame:
-    """(record, entity) of the links that count, two rows each; repeats collapse."""
+    """(record bigint, entity) of the links that count, two rows each; repeats collapse."""
     pairs = links.select(
         repository_key(F.col("repository")).alias("a"), repository_key(F.col("related_to")).alias("b"), folded(F.col("relation")).alias("kind")
     ).filter("a is not null and b is not null and a <> b and kind is not null").filter(~F.col("kind").isin(*UNRELATED))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return pairs.select(F.concat_ws("\n", "a", "b").alias("record"), F.explode(F.array("a", "b")).alias("entity"))
+    pairs = materialize(pairs.withColumn("record", F.monotonically_increasing_id()), "pairs")  # written, so the numbers stay
+    return pairs.select("record", F.explode(F.array("a", "b")).alias("entity"))
 
 
 def record_edges(entities: DataFrame) -> DataFrame:
-    """(record, entity) of ids that name several entities; entities: (id, repository), distinct."""
-    several = entities.groupBy("id").agg(F.min("repository").alias("lo"), F.max("repository").alias("hi")).filter("lo < hi").select("id")
-    return entities.join(several, "id").select(F.concat(F.lit("\t"), "id").alias("record"), F.col("repository").alias("entity"))
+    """(record bigint, entity) of ids that name several entities; entities: (id, repository), distinct."""
+    several = entities.groupBy("id").agg(F.min("repository").alias("lo"), F.max("repository").alias("hi")).filter("lo < hi")
+    several = materialize(several.select("id", (-1 - F.monotonically_increasing_id()).alias("record")), "several")  # below 0: no link's number
+    return join_hot(entities, several, ["id"]).select("record", F.col("repository").alias("entity"))
 
 
 def groups(edges: DataFrame) -> DataFrame:
-    """(entity, label) of every entity in edges (record, entity): the least entity it is joined to."""
-    edges = materialize(edges.distinct(), "edges")
-    n = edges.count()
-    labels = materialize(edges.select("entity").distinct().withColumn("label", F.col("entity")), "labels")
+    """(entity, label) of every entity in edges (record, entity), a written step without repeats: the least entity it is joined to."""
+    names = materialize(numbered(edges.select("entity").distinct().repartitionByRange("entity").sortWithinPartitions("entity"), "e"), "entities")
+    edges = materialize(join_hot(edges, names, ["entity"]).select("record", "e"), "numbered_edges")
+    labels = names.select("e", F.col("e").alias("label"))
+    size, hot = measured(labels), None
+    if size > BROADCAST_BYTES:
+        hot = materialize(hot_keys(edges, ["e"]), "hot")  # the edges stay, so do their hot entities
     for _ in range(ROUNDS):
-        by_record = join_hot(edges, labels, ["entity"], n).groupBy("record").agg(F.min("label").alias("label"))
-        by_entity = join_hot(edges, by_record, ["record"], n).groupBy("entity").agg(F.min("label").alias("label"))
-        jump = by_entity.select(F.col("entity").alias("label"), F.col("label").alias("next"))
-        after = join_hot(by_entity, jump, ["label"], n).select("entity", F.least("label", "next").alias("label"))
-        after = materialize(after, "labels")
-        changed = after.join(labels.withColumnRenamed("label", "was"), "entity").filter("label <> was").limit(1).count()
-        discard(labels)
-        labels = after
+        by_record = join_hot(edges, labels, ["e"], small_bytes=size, hot=hot).groupBy("record").agg(F.min("label").alias("label"))
+        # a record is in two edges, or in as many as an id has names: no hot key, a plain join
+        by_entity = edges.join(by_record, "record").groupBy("e").agg(F.min("label").alias("label"))
+        if size > BROADCAST_BYTES:
+            by_entity = materialize(by_entity, "by_entity")
+        jump = by_entity.select(F.col("e").alias("label"), F.col("label").alias("next"))
+        # the least label of an entity's label, never above it; it changes if it is not the entity's label of the round before
+        after = join_hot(by_entity, jump, ["label"], small_bytes=size).select("e", F.least("label", "next").alias("label"))
+        after = materialize(after.join(labels.select("e", F.col("label").alias("was")), "e"), "labels")
+        changed = after.filter("label <> was").limit(1).count()
+        labels = after.select("e", "label")
         if not changed:
-            return labels
+            least = names.select(F.col("e").alias("label"), F.col("entity").alias("name"))
+            named = join_hot(labels, least, ["label"]).select("e", F.col("name").alias("label"))
+            return names.join(named, "e").select("entity", "label")
     raise RuntimeError(f"labels still changed after {ROUNDS} rounds")
 
 
@@ -77,20 +88,23 @@ def repository_groups(records: DataFrame, links: DataFrame, with_records: bool =
     """(repository, grp) of every repository in a counting link (and, if asked, in ids that name several)."""
     edges = link_edges(links)
     if with_records:
-        named = records.filter("id is not null").select("id", repository_key(F.col("repository")).alias("repository")).filter("repository is not null").distinct()
-        edges = edges.unionByName(record_edges(named))
+        named = records.filter("id is not null").select("id", repository_key(F.col("repository")).alias("repository")).filter("repository is not null")
+        edges = edges.unionByName(record_edges(materialize(named.distinct(), "named")))
     return groups(edges).select(F.col("entity").alias("repository"), F.col("label").alias("grp"))
 
 
 def violations(records: DataFrame, links: DataFrame) -> DataFrame:
     """(id, grp) of the records whose group has records of both splits."""
-    used = records.filter("id is not null").select("id", repository_key(F.col("repository")).alias("repository"), folded(F.col("split")).alias("split"))
-    used = used.filter("repository is not null and split in ('development', 'holdout')").distinct()
-    per_repo = used.groupBy("repository").agg(F.min("split").alias("lo"), F.max("split").alias("hi"))
-    grouped = materialize(per_repo.join(repository_groups(records, links), "repository", "left").withColumn("grp", F.coalesce("grp", "repository")), "groups")
-    mixed = grouped.groupBy("grp").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("grp")
-    bad = materialize(grouped.join(mixed, "grp").select("repository", "grp"), "violating")
-    return join_hot(used.select("id", "repository").distinct(), bad, ["repository"], bad.count()).select("id", "grp").distinct()
+    used = records.filter("id is not null and repository is not null and split is not null")
+    # per written form of repository and split, of which there are few a repository: which splits it has
+    forms = used.select(F.col("repository").alias("form"), F.col("split").alias("side")).distinct()
+    forms = forms.select("form", "side", repository_key(F.col("form")).alias("repository"), folded(F.col("side")).alias("split"))
+    forms = materialize(forms.filter("repository is not null and split in ('development', 'holdout')"), "forms")
+    grp = repository_groups(records, links)
+    placed = materialize(join_hot(forms, grp, ["repository"], "left").select("form", "side", F.coalesce("grp", "repository").alias("grp"), (F.col("split") == "holdout").alias("held")), "placed")
+    mixed = placed.groupBy("grp").agg(F.bool_or("held").alias("any"), F.bool_and("held").alias("all")).filter("any and not all").select("grp")
+    bad = join_hot(placed, materialize(mixed, "mixed"), ["grp"]).select(F.col("form").alias("repository"), F.col("side").alias("split"), "grp")
+    return join_hot(used.select("id", "repository", "split"), materialize(bad, "bad"), ["repository", "split"]).select("id", "grp").distinct()
 
 
 def _pack(rows: list, labels: list[str], share: dict[str, float]) -> dict[tuple[bool, str], str]:
@@ -118,7 +132,7 @@ def assign(records: DataFrame, links: DataFrame, proportions: dict[str, float] |
     share = {s: p / sum(share.values()) for s, p in share.items()}
     current = current_versions(records, "repository", label).select("id", repository_key(F.col("repository")).alias("repository"), F.coalesce(label_of(F.col(label)), folded(F.col(label))).alias("label"))
     grp = repository_groups(records, links, with_records=True)
-    placed = join_hot(current, grp, ["repository"], grp.count(), "left").select("id", F.coalesce("grp", "repository", F.concat(F.lit("\tid "), "id")).alias("grp"), "label")
+    placed = join_hot(current, materialize(grp, "groups"), ["repository"], "left").select("id", F.coalesce("grp", "repository", F.concat(F.lit("\tid "), "id")).alias("grp"), "label")
     placed = materialize(placed, "placed")
     values = list(strata)
     counts = [F.count_if(F.col("label") == v).alias(f"c{i}") for i, v in enumerate(values)]
@@ -132,7 +146,7 @@ def assign(records: DataFrame, links: DataFrame, proportions: dict[str, float] |
     chosen = _pack(packed, [*values, ""], share)
     plan = spark.createDataFrame([(h, u, s) for (h, u), s in chosen.items()] or [(False, "", "")], "head boolean, unit string, split string")
     where = unit.join(F.broadcast(plan), ["head", "unit"]).select("grp", "split")
-    return join_hot(placed, where, ["grp"], sizes.count()).select("id", "grp", "label", "split")
+    return join_hot(placed, where, ["grp"]).select("id", "grp", "label", "split")
 
 
 # The closed vocabulary of primary labels.

@@ -85,7 +85,7 @@ def p3_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     reports = table(spark, sf_dir, "skipped_files").filter("path is not null and reason like 'parse %'")
     reports = reports.select(repository_key(F.col("repository")).alias("_r"), "path").filter("_r is not null").distinct().withColumn("reported", F.lit(True))
     verdicts = per_file(table(spark, sf_dir, "source_files")).withColumn("_r", repository_key(F.col("repository")))
-    return join_hot(verdicts, reports, ["_r", "path"], reports.count(), "left").select("file_id", "status", "line", "token", F.coalesce("reported", F.lit(False)).alias("reported"))
+    return join_hot(verdicts, reports, ["_r", "path"], "left").select("file_id", "status", "line", "token", F.coalesce("reported", F.lit(False)).alias("reported"))
 
 
 def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:

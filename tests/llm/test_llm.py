@@ -79,9 +79,34 @@ def test_quickselect_equals_ranking(spark):
     for repo, _, c in rows:
         by.setdefault(repo, []).append(c)
     ks = [(repo, "go", len(v), max(1, (len(v) * 37 + 99) // 100)) for repo, v in by.items()]
-    out = cutoffs.select_ranks(scores, spark.createDataFrame(ks, "repository string, language string, n long, k long"), direct=20)
-    got = {x.repository: x.cutoff for x in out.collect()}
-    assert got == {repo: sorted(by[repo], reverse=True)[k - 1] for repo, _, _, k in ks}
+    ranks = spark.createDataFrame(ks, "repository string, language string, n long, k long")
+    for halvings in (1, 4):
+        passes = []
+        got = {x.repository: x.cutoff for x in cutoffs.select_ranks(scores, ranks, halvings, passes).collect()}
+        assert got == {repo: sorted(by[repo], reverse=True)[k - 1] for repo, _, _, k in ks}
+        assert passes[0] == 41 and 1 < len(passes) <= 14 and passes == sorted(passes, reverse=True)
+
+
+def test_every_source_is_selected_by_pivots(spark, sf, monkeypatch):
+    """On the tables as given no source is ranked in any other way, and the cutoffs are those of sorting."""
+    passes = []
+    base, found = cutoffs.cutoffs(*(spark.read.parquet(f"{sf}/{t}.parquet") for t in ("evaluation_records", "cutoff_targets")), passes=passes)
+    scores = {}
+    for x in base.collect():
+        scores.setdefault((x.repository, x.language), []).append(x.confidence)
+    rows = found.collect()
+    assert passes[0] == sum(x.k <= x.n for x in rows) == len(scores) and passes
+    for x in rows:
+        v = sorted(scores[x.repository, x.language], reverse=True)
+        want = max(c for c in v if 100 * sum(y >= c for y in v) >= x.target_percent * len(v))
+        assert x.n == len(v) and x.cutoff == want
+
+
+def test_fractional_and_missing_targets(spark):
+    counts = spark.createDataFrame([("r", "go", 1000), ("r", "kotlin", 7)], "repository string, language string, n long")
+    targets = spark.createDataFrame([("go", None, 33.45), ("go", "other", 1.0)], "language string, repository string, target_percent double")
+    got = {x.language: (x.k, x.target_percent) for x in cutoffs.target_ranks(counts, targets).collect()}
+    assert got["go"][0] == 335 and got["kotlin"] == (None, None)
 
 
 def test_cutoff_cases(spark):
