@@ -24,7 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,12 +67,39 @@ def target_ranks(counts: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def _medians(v: np.ndarray, depth: int) -> list[float]:
-    """Of sorted values the median, then those of the lower and the upper half, and so on: 2^depth - 1 places."""
-    spans, out = [(0, len(v))], []
+def _batch_medians(group: np.ndarray, v: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Groups, their sizes, and of each group's values the median, then those of the lower and the upper half, and so on.
+
+    2^depth - 1 places a group; NaN where a part of a group is empty.
+    """
+    at = np.lexsort((v, group))
+    group, v = group[at], v[at]
+    low = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    high = np.r_[low[1:], len(group)]
+    known, sizes, spans, out = group[low], high - low, [(low, high)], []
     for _ in range(depth):
-        out += [v[(lo + hi - 1) // 2] if hi > lo else np.nan for lo, hi in spans]
-        spans = [half for lo, hi in spans for half in ((lo, (lo + hi - 1) // 2 if hi > lo else lo), ((lo + hi - 1) // 2 + 1 if hi > lo else lo, hi))]
+        halves = []
+        for lo, hi in spans:
+            mid = (lo + hi - 1) // 2
+            out.append(np.where(hi > lo, v[np.minimum(np.maximum(mid, 0), len(v) - 1)], np.nan))
+            halves += [(lo, np.where(hi > lo, mid, lo)), (np.where(hi > lo, mid + 1, lo), hi)]
+        spans = halves
+    return known, sizes, np.stack(out, 1)
+
+
+def _weighted_medians(group: np.ndarray, n: np.ndarray, m: np.ndarray, groups: int) -> np.ndarray:
+    """Per group (0 .. groups - 1) and place the median of m weighted by n; NaNs count for nothing."""
+    out = np.full((groups, m.shape[1]), np.nan)
+    for place in range(m.shape[1]):
+        known = np.flatnonzero(~np.isnan(m[:, place]))
+        known = known[np.lexsort((m[known, place], group[known]))]
+        g, upto = group[known], np.cumsum(n[known])
+        first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, int)
+        before = np.repeat(upto[first] - n[known][first], np.diff(np.r_[first, len(g)]))
+        whole = np.bincount(g, n[known], groups)
+        over = np.flatnonzero(2 * (upto - before) >= whole[g])
+        g_over, where = np.unique(g[over], return_index=True)
+        out[g_over, place] = m[known[over[where]], place]
     return out
 
 
@@ -82,25 +109,21 @@ def _task_medians(depth: int):
     A task keeps 2^depth numbers per source and batch, not the scores.
     """
 
-    def over(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[tuple, list[tuple[int, list[float]]]] = {}
-        for pdf in it:
-            for key, v in pdf.groupby(KEYS, sort=False)["confidence"]:
-                seen.setdefault(key, []).append((len(v), _medians(np.sort(v.to_numpy()), depth)))
-        rows = []
-        for key, batches in seen.items():
-            n, places = np.array([b[0] for b in batches]), np.array([b[1] for b in batches])
-            row = []
-            for v in places.T:
-                known = ~np.isnan(v)
-                if not known.any():
-                    row.append(None)
-                    continue
-                at = np.argsort(v[known], kind="stable")
-                upto = np.cumsum(n[known][at])
-                row.append(float(v[known][at][np.searchsorted(upto, upto[-1] / 2)]))
-            rows.append((*key, int(n.sum()), *row))
-        yield pd.DataFrame(rows, columns=[*KEYS, "weight", *[f"m{i}" for i in range(2**depth - 1)]]).astype({f"m{i}": float for i in range(2**depth - 1)})
+    def over(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes: dict[tuple, int] = {}
+        seen = []
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            repo, lang = (batch.column(i).dictionary_encode() for i in (0, 1))
+            group = np.asarray(repo.indices).astype(np.int64) * len(lang.dictionary) + np.asarray(lang.indices)
+            known, n, m = _batch_medians(group, np.asarray(batch.column(2)), depth)
+            repos, langs = repo.dictionary.to_pylist(), lang.dictionary.to_pylist()
+            seen.append((np.array([codes.setdefault((repos[g // len(langs)], langs[g % len(langs)]), len(codes)) for g in known]), n, m))
+        g, n, m = (np.concatenate(x) for x in zip(*seen)) if seen else (np.zeros(0, int), np.zeros(0, int), np.zeros((0, 2**depth - 1)))
+        medians, weight = _weighted_medians(g, n, m, len(codes)), np.bincount(g, n, len(codes)).astype(np.int64)
+        keys = [pa.array([k[i] for k in codes], pa.string()) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*keys, pa.array(weight), *(pa.array(c) for c in medians.T)], names=[*KEYS, "weight", *[f"m{i}" for i in range(2**depth - 1)]])
 
     return over
 
@@ -128,7 +151,7 @@ def select_ranks(scores: DataFrame, ranks: DataFrame, halvings: int = HALVINGS,
         if found:  # the first pass reads the scores as they stand
             open_scores = materialize(open_scores, "open")
             spent.append(open_scores)
-        pivots = open_scores.mapInPandas(_task_medians(halvings), schema).groupBy(*KEYS).agg(F.sort_array(F.array_distinct(F.array_compact(medians)), asc=False).alias("pivots"))
+        pivots = open_scores.mapInArrow(_task_medians(halvings), schema).groupBy(*KEYS).agg(F.sort_array(F.array_distinct(F.array_compact(medians)), asc=False).alias("pivots"))
         pivots = materialize(join_hot(pivots, state.select(*KEYS, "k"), KEYS, small_bytes=size), "pivots")
         # slot 2 i: between pivots i - 1 and i (from the top); slot 2 i + 1: at pivot i
         above = F.size(F.filter("pivots", lambda p: p > F.col("confidence")))
