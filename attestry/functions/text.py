@@ -23,4 +23,5 @@ def repository_key(c: Column, host: str = "forge.example.test") -> Column:
     that is not owner/name is kept, folded, as it stands.
     """
     plain = F.regexp_replace(folded(c), rf"^(?:[a-z][a-z0-9+.-]*://)?(?:[^@/\s]+@)?(?:www\.)?{host.replace('.', chr(92) + '.')}(?::\d+)?[:/]+", "")
-    return F.nullif(F.regexp_replace(F.regexp_replace(plain, r"^/+|/+$", ""), r"(?:\.git)?/*$", ""), F.lit(""))
+    key = F.nullif(F.regexp_replace(F.regexp_replace(plain, r"^/+|/+$", ""), r"(?:\.git)?/*$", ""), F.lit(""))
+    return F.when(c.rlike(r"^[a-z0-9_\-]+/[a-z0-9_\-]+\z"), c).otherwise(key)

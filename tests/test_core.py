@@ -120,6 +120,8 @@ def test_repository_forms(spark):
     forms = ["o/n", " O/N\n", "https://forge.example.test/o/n.git", "ssh://git@forge.example.test/o/n.git", "git@forge.example.test:o/n.git", "forge.example.test/o/n/", "HTTPS://FORGE.EXAMPLE.TEST/O/N/"]
     got = spark.createDataFrame([(f,) for f in [*forms, "", None]], "r string").select(repository_key(F.col("r"))).collect()
     assert [r[0] for r in got] == ["o/n"] * len(forms) + [None, None]
+    odd = spark.createDataFrame([(f,) for f in ["a-b/c_1", "a-b/c_1\n", "o/n.git", "plain"]], "r string").select(repository_key(F.col("r"))).collect()
+    assert [r[0] for r in odd] == ["a-b/c_1", "a-b/c_1", "o/n", "plain"]
 
 
 def test_join_hot_beyond_the_broadcast(spark, monkeypatch):
