@@ -8,9 +8,12 @@ gives the posterior of each item's label, the M step takes Newton-scaled gradien
 abilities (with a normal prior around the annotator's mean) and on every item's ease (normal
 prior), and sets priors and error distributions from the expected counts.
 
-An iteration is one pass over the items: ease and posterior of an item are found from the
-parameters alone, so no per-item state is kept between passes, and a pass returns one row per
-annotator and label. Parameters are sent to the workers: MAX_ANNOTATORS * 72 numbers at most.
+Items with the same labels by the same annotators are one pattern with a count. An iteration is
+one pass over the patterns: ease and posterior follow from the parameters alone, so no state is
+kept between passes, and a pass returns one row per annotator and label. Parameters are sent to
+the workers: MAX_ANNOTATORS * 72 numbers at most. Passes end when no chance of being right
+changes by TOLERANCE, after at most ITERATIONS; annotators() reports how many there were and
+whether they converged.
 
 Evidence: of each annotator and item the latest value that names a label of the vocabulary in
 whatever written form; the record's reviewer_a / reviewer_b where that slot has none; and,
@@ -40,17 +43,20 @@ LABELS = ("unit", "integration", "contract", "end_to_end", "performance", "smoke
 ALIASES = {"e2e": "end_to_end", "endtoend": "end_to_end", "perf": "performance"}
 
 MAX_ANNOTATORS = 2000
-ITERATIONS, TOLERANCE, EASE_SD = 25, 0.004, 0.5
+ITERATIONS, TOLERANCE, EASE_SD = 60, 0.004, 0.5
 K = len(LABELS)
 ADJUDICATOR = "adjudication"
 
 
 def label_of(c: Column) -> Column:
-    """The label of the vocabulary that c names in any letter case, spacing or camel case, with or without 'test'; else null."""
+    """The label of the vocabulary that c names in any letter case, spacing or camel case, with or without 'test'; else null.
+
+    A value that is a label as it stands, as most are, is not normalised.
+    """
     snake = F.lower(F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), "(?<=[a-z])(?=[A-Z])", "_"))
     plain = F.regexp_replace(F.regexp_replace(snake, r"(?U)[\s_\-]+", "_"), "_tests?$", "")
     forms = {x: x for x in LABELS} | ALIASES
-    return F.try_element_at(F.create_map(*[F.lit(x) for pair in forms.items() for x in pair]), plain)
+    return F.when(c.isin(*LABELS), c).otherwise(F.try_element_at(F.create_map(*[F.lit(x) for pair in forms.items() for x in pair]), plain))
 
 
 def code_of(c: Column) -> Column:
@@ -64,12 +70,21 @@ def latest_labels(labels: DataFrame) -> DataFrame:
     return named.groupBy("id", "annotator").agg(F.max(F.struct("labelled_at", "label_id", "slot", "label")).alias("v")).select("id", "annotator", "v.slot", "v.label")
 
 
-def evidence(labels: DataFrame, records: DataFrame) -> DataFrame:
-    """(id, given array<struct<annotator, label>>, n_reviewers, n_labels) per item with a label."""
-    given = latest_labels(labels).groupBy("id").agg(
-        F.collect_list(F.struct("annotator", "label")).alias("given"), F.count("*").alias("n_reviewers"), F.count_distinct("label").alias("n_labels"),
-        F.bool_or(F.lower("slot") == "a").alias("has_a"), F.bool_or(F.lower("slot") == "b").alias("has_b"),
-    )
+def annotator_names(labels: DataFrame) -> list[str]:
+    """All annotators, those that stand for a record's own columns included; at most MAX_ANNOTATORS reach the driver."""
+    names = {r[0] for r in labels.select("reviewer_id").filter("reviewer_id is not null").distinct().limit(MAX_ANNOTATORS + 1).collect()}
+    if len(names) > MAX_ANNOTATORS:
+        raise ValueError(f"more than {MAX_ANNOTATORS} annotators")
+    return sorted(names | {"record:a", "record:b", ADJUDICATOR})
+
+
+def evidence(labels: DataFrame, records: DataFrame, names: list[str]) -> DataFrame:
+    """(id, cells array<int>, n_reviewers, n_labels) per item with a label; a cell is K times the annotator's place in names plus the label's."""
+    codes = labels.sparkSession.createDataFrame([(a, i * K) for i, a in enumerate(names)], "annotator string, base int")
+    latest = latest_labels(labels).join(F.broadcast(codes), "annotator")  # at most MAX_ANNOTATORS + 3 rows
+    given = latest.groupBy("id").agg(
+        F.collect_list(F.col("base") + code_of(F.col("label"))).alias("given"), F.bool_or(F.lower("slot") == "a").alias("has_a"), F.bool_or(F.lower("slot") == "b").alias("has_b")
+    )
     rec = current_versions(records, "reviewer_a_primary", "reviewer_b_primary", "human_primary", "adjudication_note")
     noted = F.regexp_extract(F.lower("adjudication_note"), rf"\b({'|'.join(LABELS)})\b", 1)
     rec = rec.select(
@@ -77,18 +92,15 @@ def evidence(labels: DataFrame, records: DataFrame) -> DataFrame:
         F.coalesce(label_of(F.col("human_primary")), label_of(noted)).alias("h"),
     )
     both = given.join(rec, "id", "full")
-    one = lambda who, label, when: F.when(when & label.isNotNull(), F.array(F.struct(F.lit(who).alias("annotator"), label.alias("label"))))
-    none = F.expr("cast(array() as array<struct<annotator: string, label: string>>)")
-    more = [
-        one("record:a", F.col("a"), ~F.coalesce("has_a", F.lit(False))),
-        one("record:b", F.col("b"), ~F.coalesce("has_b", F.lit(False))),
-        one(ADJUDICATOR, F.col("h"), F.coalesce(F.col("a") != F.col("b"), F.lit(False))),
-    ]
-    out = both.select(
-        "id", F.concat(F.coalesce("given", none), *[F.coalesce(m, none) for m in more]).alias("given"),
-        F.coalesce("n_reviewers", F.lit(0)).alias("n_reviewers"), F.coalesce("n_labels", F.lit(0)).alias("n_labels"),
-    )
-    return out.filter(F.size("given") > 0)
+    one = lambda who, label, when: F.when(when, F.lit(names.index(who) * K) + code_of(F.col(label)))
+    more = F.array_compact(F.array(
+        one("record:a", "a", F.col("a").isNotNull() & ~F.coalesce("has_a", F.lit(False))), one("record:b", "b", F.col("b").isNotNull() & ~F.coalesce("has_b", F.lit(False))),
+        one(ADJUDICATOR, "h", F.col("h").isNotNull() & F.coalesce(F.col("a") != F.col("b"), F.lit(False))),
+    ))
+    own = F.coalesce("given", F.expr("cast(array() as array<int>)"))
+    distinct = F.size(F.array_distinct(F.transform(own, lambda c: c % K)))
+    out = both.select("id", F.array_sort(F.concat(own, more)).alias("cells"), F.size(own).cast("bigint").alias("n_reviewers"), distinct.cast("bigint").alias("n_labels"))
+    return out.filter(F.size("cells") > 0)
 
 
 class Parameters:
@@ -130,11 +142,11 @@ class Parameters:
         return float(np.abs(1 / (1 + np.exp(-self.ability)) - was).max())
 
 
-def _arrays(batch: pa.RecordBatch):
-    """item, who, label of a batch of (id, who array, label array)."""
-    who, label = batch.column(1), batch.column(2)
-    n = np.diff(np.asarray(who.offsets))
-    return np.repeat(np.arange(len(n)), n), np.asarray(who.flatten()), np.asarray(label.flatten())
+def _arrays(cells: pa.ListArray):
+    """item, who, label of lists of cells."""
+    n = np.diff(np.asarray(cells.offsets))
+    who, label = np.divmod(np.asarray(cells.flatten()), K)
+    return np.repeat(np.arange(len(n)), n), who, label
 
 
 _STATS = "who int, z int, grad double, curve double, " + ", ".join(f"c{i} double" for i in range(K))
@@ -147,8 +159,9 @@ def _statistics(p: Parameters):
         for batch in it:
             if not batch.num_rows:
                 continue
-            item, who, label = _arrays(batch)
+            item, who, label = _arrays(batch.column(0))
             q, ease, s, right = p.posterior(item, who, label, batch.num_rows)
+            q = q * np.asarray(batch.column(1))[:, None]
             w, scale = q[item], np.exp(ease)[item][:, None]
             g, h = w * (right - s) * scale, w * s * (1 - s) * scale**2
             cell = who.astype(np.int64) * K + label
@@ -167,14 +180,13 @@ def _statistics(p: Parameters):
 
 
 def fit(items: DataFrame, n: int, iterations: int = ITERATIONS) -> Parameters:
-    """items: (id, who array<int>, label array<int>), codes below n. Each pass returns n * K rows to the driver."""
+    """items: (cells array<int>), of annotators below n. Each pass returns n * K rows to the driver."""
     p = Parameters(n)
-    p.count = np.zeros((n, K, K))
-    if not n:
-        return p
+    p.count, p.passes, p.converged = np.zeros((n, K, K)), 0, False
+    patterns = materialize(items.groupBy("cells").agg(F.count("*").alias("weight")), "patterns")
     sums = [F.sum(c).alias(c) for c in ("grad", "curve", *[f"c{i}" for i in range(K)])]
-    for _ in range(iterations):
-        rows = items.select("id", "who", "label").mapInArrow(_statistics(p), _STATS).groupBy("who", "z").agg(*sums).collect()
+    while p.passes < iterations and not p.converged:
+        rows = patterns.mapInArrow(_statistics(p), _STATS).groupBy("who", "z").agg(*sums).collect()
         count, grad, curve, seen = np.zeros((n, K, K)), np.zeros((n, K)), np.zeros((n, K)), np.zeros(K)
         for r in rows:
             if r.who < 0:
@@ -182,53 +194,45 @@ def fit(items: DataFrame, n: int, iterations: int = ITERATIONS) -> Parameters:
             else:
                 grad[r.who, r.z], curve[r.who, r.z], count[r.who, r.z] = r.grad, r.curve, r[4:]
         p.count = count
-        if p.step(count, grad, curve, seen) < TOLERANCE:
-            break
+        p.passes += 1
+        p.converged = p.step(count, grad, curve, seen) < TOLERANCE
     return p
 
 
-def _coded(spark: SparkSession, labels: DataFrame, records: DataFrame) -> tuple[DataFrame, list[str]]:
-    found = materialize(evidence(labels, records), "evidence")
-    names = sorted(r[0] for r in found.select(F.explode("given.annotator").alias("a")).distinct().limit(MAX_ANNOTATORS + 1).collect())
-    if len(names) > MAX_ANNOTATORS:
-        raise ValueError(f"more than {MAX_ANNOTATORS} annotators")
-    known = F.array(*map(F.lit, names)) if names else F.expr("cast(array() as array<string>)")
-    items = found.select(
-        "id", F.transform("given.annotator", lambda a: (F.array_position(known, a) - 1).cast("int")).alias("who"),
-        F.transform("given.label", code_of).alias("label"), "n_reviewers", "n_labels",
-    )
-    return materialize(items, "items"), names
+def _coded(labels: DataFrame, records: DataFrame) -> tuple[DataFrame, list[str]]:
+    names = annotator_names(labels)
+    return materialize(evidence(labels, records, names), "items"), names
 
 
 def _judged(p: Parameters):
     def over(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            item, who, label = _arrays(batch)
+            item, who, label = _arrays(batch.column(1))
             q, ease, _, right = p.posterior(item, who, label, batch.num_rows)
             best = q.argmax(1)
             agree = np.bincount(item, label == best[item], batch.num_rows) / np.maximum(np.bincount(item, minlength=batch.num_rows), 1)
             out = [pa.array(np.array(LABELS, object)[best], pa.string()), pa.array(q.max(1)), pa.array(np.exp(-ease)), pa.array(agree)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *out, batch.column(3), batch.column(4)], names=["id", "consensus_primary", "posterior", "difficulty", "agreement", "n_reviewers", "n_labels"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *out, batch.column(2), batch.column(3)], names=["id", "consensus_primary", "posterior", "difficulty", "agreement", "n_reviewers", "n_labels"])
 
     return over
 
 
 def consensus(labels: DataFrame, records: DataFrame) -> DataFrame:
     """Per item: consensus label, its posterior, difficulty, share of labels that agree with it, reviewers and distinct labels in the label table."""
-    items, names = _coded(labels.sparkSession, labels, records)
+    items, names = _coded(labels, records)
     p = fit(items, len(names))
     return items.mapInArrow(_judged(p), "id string, consensus_primary string, posterior double, difficulty double, agreement double, n_reviewers bigint, n_labels bigint")
 
 
 def annotators(labels: DataFrame, records: DataFrame) -> DataFrame:
-    """Per annotator: labels given, expected share right, mean ability, and the share right of each true label's items."""
-    spark = labels.sparkSession
-    items, names = _coded(spark, labels, records)
+    """Per annotator with labels: labels given, expected share right, mean ability, the share right of each true
+    label's items, and of the fit its passes and whether it converged."""
+    items, names = _coded(labels, records)
     p = fit(items, len(names))
-    total = p.count.sum((1, 2)) if names else np.zeros(0)
-    right = np.trace(p.count, axis1=1, axis2=2) if names else np.zeros(0)
-    rows = [(a, int(round(total[j])), float(right[j] / max(total[j], 1e-9)), float(p.ability[j].mean()), [float(x) for x in np.diag(p.count[j]) / np.maximum(p.count[j].sum(1), 1e-9)]) for j, a in enumerate(names)]
-    return spark.createDataFrame(rows, "annotator string, n_labels bigint, reliability double, ability double, recall_by_label array<double>")
+    total, right = p.count.sum((1, 2)), np.trace(p.count, axis1=1, axis2=2)
+    recall = np.diagonal(p.count, axis1=1, axis2=2) / np.maximum(p.count.sum(2), 1e-9)
+    rows = [(a, round(float(total[j])), float(right[j] / total[j]), float(p.ability[j].mean()), recall[j].tolist(), p.passes, p.converged) for j, a in enumerate(names) if total[j] > 0.5]
+    return labels.sparkSession.createDataFrame(rows, "annotator string, n_labels bigint, reliability double, ability double, recall_by_label array<double>, passes int, converged boolean")
 
 
 def agreement(labels: DataFrame) -> DataFrame:
