@@ -8,11 +8,16 @@ names, punctuation of Go and Kotlin). A literal is flagged if it is no placehold
   through concatenation, joining and decoding calls, or
 * the last argument of a call that logs in or connects.
 
-Inside literals and comments the same is done for notations of their own: key=value,
-key: value and JSON pairs, environment and netrc lines, command-line flags, credentials in
-URLs, signed and secret links, authorization headers, and self-describing tokens (published
-prefixes, signed tokens, private key blocks). Redaction replaces a credential's characters
-only; quotes, escapes around it, line breaks and everything else stay.
+Inside literals and comments the same is done once more: a second lexer reads their text as notes,
+values that stand at a name: key=value, key: value and JSON pairs, environment and netrc lines,
+command-line flags, parameters of links, and the places where a notation has a password without
+naming it (user:password@ in URLs and addresses, secret links, authorization headers). A note is flagged by
+the rule for literals: its name stands for a credential and its value is no placeholder; since a
+note has no quotes, its value must not look like a word of prose either. Self-describing tokens
+(published prefixes, signed tokens, private key blocks) need no name.
+
+Redaction replaces a credential's characters only; quotes, escapes of delimiters and white
+space, line breaks, key block headers and everything else stay.
 
 Cases: null sources, imports and list elements have no credentials; empty and blank values,
 placeholders, references to variables, files or stores, digests, ids, public keys and
@@ -89,10 +94,23 @@ PAIR = re.compile(r"""(?P<k>[A-Za-z][\w.\-]*)(?:\\*["'])?[ \t]*(?:=>|->|:=|[:=])
 WORDED = re.compile(r"""(?im)^[ \t]*(?:machine[ \t]+\S+[ \t]+)?(?:login[ \t]+\S+[ \t]+)?password[ \t]+(?P<v>[^\s"']+)[ \t]*$""")
 FLAG = re.compile(r"""(?<![\w\-])(?:--?(?P<k>[A-Za-z][\w\-]*)[ =]|-(?P<u>[up])[ ]?)(?P<v>[^\s"'`]+)""")
 USERINFO = re.compile(r"""[a-zA-Z][a-zA-Z0-9+.\-]*://[^\s/:@"'`]*:(?P<v>[^\s/@"'`]+)@""")
-LINK = re.compile(r"""[?&](?:sig|signature|token|access_token|auth_token|secret|(?:api_?)?key|x-amz-signature|sas)=(?P<v>[^\s"'`&#]{12,})""", re.I)
+# user:password@network(address), as drivers of databases are told where to connect
+ADDRESS = re.compile(r"""(?<![\w/])[\w.\-]+:(?P<v>[^\s"'`]+)@(?:tcp[46]?|udp[46]?|unix|socket)\(""")
+LINK = re.compile(r"""[?&](?P<k>[A-Za-z][\w\-]*)=(?P<v>[^\s"'`&#]{12,})""")
+# Parameters of links that sign or open them.
+SIGNATURES = frozenset("sig signature x-amz-signature sas key".split())
 HOOK = re.compile(r"""https?://hooks?\.[^\s"'`/]+/(?P<v>(?:[\w\-]+/)*[\w\-]{16,})|https?://[^\s"'`]+/(?:web)?hooks?/(?P<w>(?:[\w\-]+/)*[\w\-]{20,})""", re.I)
 SCHEME = re.compile(r"""\b(?P<s>basic|bearer|token)[ ]+(?P<v>[A-Za-z0-9+/=._~\-]{8,})""", re.I)
-TRIGGER = re.compile(r"(?i)pass|pwd|secret|token|key|cred|auth|(?:pin|pat|pw)(?:(?![a-z])|(?-i:[A-Z]))|(?-i:PIN|PAT|PW)|otp|://|bearer|basic|AKIA|ASIA|AIza|glpat|gh[opsur]_|npm_|pypi-|xox|_live_|_prod_|SG\.|dop_v1|hvs\.|shpat|eyJ|log_?in|sign_?in|connect|(?<![\w\-])-[upa]|--?user|hook|sig=|signature=|sas=")
+# Hints: one of them is in every text in which a name, call, notation or shape of this module can be; most texts have none.
+_BOUNDED = ("pin", "pat", "pw")
+_WORDS = [w for w in (SECRET_WORDS | {"key"}) if w not in _BOUNDED]
+LOWER_HINTS = (*sorted(w for w in _WORDS if not any(v != w and v in w for v in _WORDS)), "login", "log_in", "signin", "sign_in", "connect", "://", "bearer", "basic", "-user", "@tcp", "@udp", "@unix(", "@socket(", "sig=", "signature=", "sas=")
+CASED_HINTS = ("AKIA", "ASIA", "AIza", "glpat-", "gho_", "ghp_", "ghs_", "ghu_", "ghr_", "github_pat_", "npm_", "pypi-", "xox", "_live_", "_prod_", "SG.", "dop_v1_", "hvs.", "shpat_", "eyJ")
+BOUNDED = re.compile(r"(?i)(?:pin|pat|pw)(?:(?![a-z])|(?-i:[A-Z]))|(?-i:PIN|PAT|PW)")
+SHORT_FLAG = re.compile(r"(?<![\w\-])-[upa]")
+
+# How a credential was found: as a named literal, as a named value inside a literal or comment, by its own shape.
+LITERAL, NOTE, SHAPE = "literal", "note", "shape"
 
 PASSING = re.compile(r"(?i)^(?:decode\w*|fromBase64\w*|b64decode|listOf|arrayOf|of|join\w*|byte|bytes|string|toByteArray|trim\w*|concat|format|secret\w*string|Secret|Some|ptr|pointer|stringptr)$")
 LOGIN = re.compile(r"(?i)^(?:log_?in\w*|sign_?in\w*|authenticate\w*|basic_?auth\w*|set_?basic_?auth|get_?connection|connect\w*|with_?credentials|credentials|userpass\w*)$")
@@ -139,58 +157,85 @@ def telling(value: str) -> bool:
     return not placeholder(value) and len(value) >= 6 and bool(re.search(r"\d|[a-z][A-Z]|^[a-z]+(?:-[a-z]+){2,}$|[!@#%^*?~+/]", value)) and "()" not in value and not re.fullmatch(r"[A-Z]?[a-z\-]*[.:]", value)
 
 
-def in_text(text: str, base: int, out: list[tuple[int, int]]) -> None:
-    """Adds (start, end) of credentials in the notations of literals and comments."""
-    if not TRIGGER.search(text):
-        return
-    for m in PRIVATE_KEY.finditer(text):
-        out.append((base + m.start(), base + m.end()))
-    if "-----BEGIN" in text:
-        text = PUBLIC_BLOCK.sub(lambda m: '"' * len(m.group()), text)  # no notation's value holds a quote
-    for m in SHAPES.finditer(text):
-        if not placeholder(m.group()):
-            out.append((base + m.start(), base + m.end()))
-    for m in USERINFO.finditer(text):
-        if not placeholder(m["v"]):
-            out.append((base + m.start("v"), base + m.end("v")))
+def hinted(text: str) -> bool:
+    """Whether text can hold a credential: a superset, made of the words and shapes that the scanners look for."""
+    low = text.lower()
+    for w in LOWER_HINTS:
+        if w in low:
+            return True
+    for w in CASED_HINTS:
+        if w in text:
+            return True
+    for w in _BOUNDED:
+        if w in low:
+            if BOUNDED.search(text):
+                return True
+            break
+    return "-" in text and SHORT_FLAG.search(text) is not None
+
+
+def _basic(value: str) -> bool:
+    """Whether value is user:password in base 64."""
+    try:
+        return b":" in base64.b64decode(value + "=" * (-len(value) % 4), validate=True)
+    except (binascii.Error, ValueError):
+        return False
+
+
+def notes(text: str) -> Iterator[tuple[str, int, int, bool]]:
+    """(name, start, end, certain) of the values that stand at a name in the text of a literal or comment.
+
+    A place that a notation has for a password, secret or token has that name; certain: the
+    notation itself says that the value is no word.
+    """
+    if "://" in text:
+        for m in USERINFO.finditer(text):
+            yield "password", *m.span("v"), True
+        for m in HOOK.finditer(text):
+            g = "v" if m["v"] else "w"
+            if telling(m[g].rpartition("/")[2]):
+                yield "secret", *m.span(g), True
+    if "(" in text:
+        for m in ADDRESS.finditer(text):
+            yield "password", *m.span("v"), True
     for m in LINK.finditer(text):
-        if telling(m["v"]):
-            out.append((base + m.start("v"), base + m.end("v")))
-    for m in HOOK.finditer(text):
-        g = "v" if m["v"] else "w"
-        if telling(m[g].rpartition("/")[2]):
-            out.append((base + m.start(g), base + m.end(g)))
+        yield "signature_token" if m["k"].lower() in SIGNATURES else m["k"], *m.span("v"), False
     for m in SCHEME.finditer(text):
-        v = m["v"]
         if m["s"].lower() == "basic":
-            try:
-                good = b":" in base64.b64decode(v + "=" * (-len(v) % 4), validate=True)
-            except (binascii.Error, ValueError):
-                good = False
-        else:
-            good = len(v) >= 16 and telling(v) and m["s"].lower() == "bearer"
-        if good:
-            out.append((base + m.start("v"), base + m.end("v")))
+            if _basic(m["v"]):
+                yield "password", *m.span("v"), True
+        elif m["s"].lower() == "bearer" and len(m["v"]) >= 16:
+            yield "token", *m.span("v"), False
     for m in PAIR.finditer(text):
-        if names_credential(m["k"]) and telling(m["v"]) and not text.startswith("://", m.end("k")):
-            out.append((base + m.start("v"), base + m.end("v")))
+        if not text.startswith("://", m.end("k")):
+            yield m["k"], *m.span("v"), False
     for m in WORDED.finditer(text):
-        if telling(m["v"]):
-            out.append((base + m.start("v"), base + m.end("v")))
+        yield "password", *m.span("v"), False
     for m in FLAG.finditer(text):
-        v = m["v"]
-        at = m.start("v")
         if m["u"] == "u" or (m["k"] or "").lower() in ("u", "a", "auth", "user", "basic-auth"):
-            user, colon, v = v.partition(":")
-            at += len(user) + 1
-            if not colon:
-                continue
-        elif not (m["u"] or names_credential(m["k"])):
-            continue
-        elif m["u"] and "ssh" not in text and "mysql" not in text:
-            continue
-        if telling(v):
-            out.append((base + at, base + at + len(v)))
+            user, colon, _ = m["v"].partition(":")
+            if colon:
+                yield "password", m.start("v") + len(user) + 1, m.end("v"), False
+        elif m["k"]:
+            yield m["k"], *m.span("v"), False
+        elif "ssh" in text or "mysql" in text:
+            yield "password", *m.span("v"), False
+
+
+def in_text(text: str, base: int, out: list[tuple[int, int, str]]) -> None:
+    """Adds (start, end, path) of the credentials inside a literal or comment."""
+    if not hinted(text):
+        return
+    for m in PRIVATE_KEY.finditer(text):
+        out.append((base + m.start(), base + m.end(), SHAPE))
+    if "-----BEGIN" in text:
+        text = PUBLIC_BLOCK.sub(lambda m: '"' * len(m.group()), text)  # no notation's value holds a quote
+    for m in SHAPES.finditer(text):
+        if not placeholder(m.group()):
+            out.append((base + m.start(), base + m.end(), SHAPE))
+    for name, a, b, certain in notes(text):
+        if names_credential(name) and not placeholder(text[a:b]) and (certain or telling(text[a:b])):
+            out.append((base + a, base + b, NOTE))
 
 
 def _closed(start: int, end: int, text: str, raw: bool) -> tuple[int, int]:
@@ -200,11 +245,11 @@ def _closed(start: int, end: int, text: str, raw: bool) -> tuple[int, int]:
     return start + q, end - q if end - start >= 2 * q and text.endswith(quote, start, end) else end
 
 
-def spans(source: str) -> list[tuple[int, int]]:
-    """(start, end) of each credential in a source text, by start, without overlaps."""
-    if not TRIGGER.search(source):
+def marks(source: str) -> list[tuple[int, int, str]]:
+    """(start, end, path) of each credential in a source text, by start, without overlaps."""
+    if not hinted(source):
         return []
-    out: list[tuple[int, int]] = []
+    out: list[tuple[int, int, str]] = []
     toks = [(m.lastgroup, m.start(), m.end()) for m in TOKEN.finditer(source)]
     calls: list[list] = []  # open brackets: [name of the call, target of the call's value, string arguments, bracket]
     target, names, key, n = "", [], "", len(toks)
@@ -227,7 +272,7 @@ def spans(source: str) -> list[tuple[int, int]]:
                     break
             value = "".join(source[a:b] for a, b in parts)
             nxt = source[toks[i + 1][1] : toks[i + 1][2]] if i + 1 < n else ""
-            found: list[tuple[int, int]] = []
+            found: list[tuple[int, int, str]] = []
             in_text(value, 0, found)
             call = calls[-1] if calls else None
             if call:
@@ -242,12 +287,12 @@ def spans(source: str) -> list[tuple[int, int]]:
                 if nxt == "]":
                     names = [value]
             elif named and not found and not placeholder(value) and not re.search(r"[^\S ]" if phrase else r"\s", value.strip()) and "-----BEGIN" not in value:
-                found = [(0, len(value))]
+                found = [(0, len(value), LITERAL)]
             if found:
                 if len(parts) == 1:
-                    out += [(parts[0][0] + a, parts[0][0] + b) for a, b in found]
+                    out += [(parts[0][0] + a, parts[0][0] + b, path) for a, b, path in found]
                 else:
-                    out += parts
+                    out += [(*p, found[0][2]) for p in parts]
             if not (nxt in (":", "to")):
                 key = ""
         elif kind == "name":
@@ -283,13 +328,13 @@ def spans(source: str) -> list[tuple[int, int]]:
                         if LOGIN.match(call[0]) and len(strings) >= 2:
                             value, parts = strings[-1]
                             if not placeholder(value) and not re.search(r"\s|://", value):
-                                out += parts
+                                out += [(*p, LITERAL) for p in parts]
                         elif PASSING.match(call[0]) and len(strings) > 1:
-                            whole: list[tuple[int, int]] = []
+                            whole: list[tuple[int, int, str]] = []
                             value = "".join(v for v, _ in strings)
                             in_text(value, 0, whole)
                             if whole:
-                                out += [p for _, parts in strings for p in parts if p[0] < p[1]]
+                                out += [(*p, whole[0][2]) for _, parts in strings for p in parts if p[0] < p[1]]
                 key = ""
             elif op == ",":
                 key = ""
@@ -302,23 +347,41 @@ def spans(source: str) -> list[tuple[int, int]]:
                     target, key = "", ""
                 names = []
         i += 1
-    merged: list[tuple[int, int]] = []
-    for a, b in sorted(set(out)):
+    return _apart(out)
+
+
+def _apart(out: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """By start, overlapping ones made one."""
+    merged: list[tuple[int, int, str]] = []
+    for a, b, path in sorted(set(out)):
         if merged and a < merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+            merged[-1] = (merged[-1][0], max(b, merged[-1][1]), min(path, merged[-1][2]))
         elif a < b:
-            merged.append((a, b))
+            merged.append((a, b, path))
     return merged
 
 
-def import_spans(text: str) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
+def spans(source: str) -> list[tuple[int, int]]:
+    return [(a, b) for a, b, _ in marks(source)]
+
+
+def import_marks(text: str) -> list[tuple[int, int, str]]:
+    """The same of an import, which is read like a literal."""
+    out: list[tuple[int, int, str]] = []
     in_text(text.replace("\n", " "), 0, out)
-    return sorted(set(out))
+    return _apart(out)
+
+
+def import_spans(text: str) -> list[tuple[int, int]]:
+    return [(a, b) for a, b, _ in import_marks(text)]
+
+
+#: Line breaks and escapes of delimiters and white space; escapes that write a character in digits are content.
+KEPT = re.compile(r"""(\r?\n|\\[nrtbfav\\"'`$])""")
 
 
 def redacted(text: str, found: list[tuple[int, int]], mark: str = "REDACTED") -> str:
-    """text with each span replaced; line breaks, real or escaped, and key block headers inside stay."""
+    """text with each span replaced; line breaks, escapes of delimiters and white space, and key block headers inside stay."""
     out, at = [], 0
     for a, b in found:
         out.append(text[at:a])
@@ -326,8 +389,8 @@ def redacted(text: str, found: list[tuple[int, int]], mark: str = "REDACTED") ->
         if body.startswith("-----BEGIN"):
             out.append(re.sub(r"(?<!-)(?<!\\)(?<![A-Za-z0-9+/=])[A-Za-z0-9+/=]{16,}|(?<=\\n)[A-Za-z0-9+/=]{4,}|^[A-Za-z0-9+/=]+$", mark, body, flags=re.M))
         else:
-            out.append(mark)
-        at = b
+            out += [x if i % 2 else mark for i, x in enumerate(KEPT.split(body)) if x]
+        at = max(at, b)
     return "".join(out) + text[at:]
 
 
@@ -392,5 +455,21 @@ def p2_by_repository(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("repository").agg(F.count("*").alias("n_rows"), F.count_if(F.col("n_redacted") > 0).alias("n_with"), F.sum("n_redacted").alias("n_credentials"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p2_by_repository": p2_by_repository}
+def _paths(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        n: dict[tuple[str, str], int] = {}
+        for source, imports in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for field, found in (("source", marks(source) if source else []), *(("imports", import_marks(x)) for x in imports or () if x)):
+                for _, _, path in found:
+                    n[field, path] = n.get((field, path), 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.string()), pa.array(n.values(), pa.int64())], names=["field", "path", "n"])
+
+
+def p2_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Credentials per field and way of finding them, in every row as delivered."""
+    rows = spread(table(spark, sf_dir, "test_evidence").select("source", "imports"))
+    return rows.mapInArrow(_paths, "field string, path string, n bigint").groupBy("field", "path").agg(F.sum("n").alias("n_credentials"))
+
+
+QUERIES = {"p2_paths": p2_paths, "p2_found": p2_found, "p2_redacted": p2_redacted, "p2_by_repository": p2_by_repository}
 SQL: dict[str, str] = {}
