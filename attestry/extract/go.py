@@ -9,6 +9,7 @@ import ast
 import re
 from dataclasses import dataclass, field
 
+from attestry.extract import go_syntax
 from attestry.extract.common import GOLDEN, SNAPSHOT, SyntaxFault, unique
 
 TOKENS = re.compile(
@@ -16,8 +17,8 @@ TOKENS = re.compile(
     |(?P<string>"(?:[^"\\\n]|\\.)*"|`[^`]*`)
     |(?P<rune>'(?:[^'\\\n]|\\.)+')
     |(?P<name>[A-Za-z_\x80-\xff][\w\x80-\xff]*)
-    |(?P<number>\.?\d[\w.]*)
-    |(?P<op>:=|<-|\.\.\.|[{}()\[\];,.]|[-+*/%&|^<>=!:~]+)""",
+    |(?P<number>0[xX](?:[\w.]|(?<=[pP])[+\-])*|\.?\d(?:[\w.]|(?<=[eE])[+\-])*)
+    |(?P<op><<=|>>=|&\^=|\.\.\.|&&|\|\||<-|\+\+|--|==|!=|<=|>=|:=|[-+*/%&|^]=|<<|>>|&\^|[-+*/%&|^<>=!:~{}()\[\];,.])""",
     re.X,
 )
 PAIRS = {"(": ")", "[": "]", "{": "}"}
@@ -36,6 +37,9 @@ class GoFile:
 
     def __post_init__(self) -> None:
         pos, open_ = 0, []
+        for mark, name in (("\x00", "NUL"), ("\xef\xbb\xbf", "byte order mark")):
+            if mark in self.text:
+                raise SyntaxFault(f"illegal {name} at byte {self.text.index(mark)}")
         while pos < len(self.text):
             m = TOKENS.match(self.text, pos)
             if m is None:
@@ -53,8 +57,7 @@ class GoFile:
             pos = m.end()
         if open_:
             raise SyntaxFault(f"missing {PAIRS[self.word[open_[-1]]]}")
-        if self.word[:1] != ["package"]:
-            raise SyntaxFault("expected package")
+        go_syntax.check(self.text, self.kind, self.word, self.at, self.end)
 
     def get(self, i: int) -> str:
         return self.word[i] if 0 <= i < len(self.word) else ""

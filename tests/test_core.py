@@ -219,6 +219,32 @@ def test_go_extraction():
             go.tests(broken.encode())
 
 
+@pytest.mark.parametrize(
+    "code",
+    ["var x := 1", "x := := 1", "var = 3", "const a", "func f( {}", "func f() { if x = 1 { } }", "func f() { for { }", "func f() { go f }", "func f() { switch x := 5 { } }", "func f() { a b }", "func f(a int, string) {}", "type T struct { a, }", "var s = \"\\q\"",
+     "var r = 'ab'", "var n = 08", "var n = 0x", "func f() { return 1 2 }", "import \"late\"\nvar x = 1\nimport \"os\"", "<<<<<<< HEAD", "func f() { x = [2]int{1, 2 }\n", "func (t T) {}", "var x “y”", "func f() { else { } }", "func f() { case 1: }"],
+)
+def test_go_syntax_faults(code):
+    with pytest.raises(SyntaxFault):
+        go.tests(f"package p\n{code}\n".encode())
+
+
+@pytest.mark.parametrize(
+    "code",
+    ["", "type T[K comparable, V int | ~string] map[K][]V", "type A [N * 2]int", "type A = B[int]", "type S struct { a, b int `tag`\n *T\n p.Q\n G[int]\n c [3]int }", "type I interface { m(int) (x, y error); ~int | string; fmt.Stringer }",
+     "func (r *T[K]) m(a, b int, c ...string) (n int, err error) { return }", "var f = func(int, ...string) <-chan int { return nil }(1)", "const (\n a = iota\n b\n)", "func f() { L: for i, x := range []T{{1}, {2}} { if v, ok := m[T{1}]; !ok && v == (T{}) { continue L } } }",
+     "func f() { switch y := x.(type) { case []int, nil: goto end; default: fallthrough }\nend: }", "func f() { select { case v, ok := <-c: _ = v; case c <- 1: default: } }", "func f() { for i := 0; i < 3; i++ { }; for range 3 { }; for ; ; { }; for x < T(1) { } }",
+     "func f() { defer func() { recover() }(); go g(a...)\n x, y = y[1:2:3], z[:]\n *p++ ; c <- <-d }", "var m = map[string][]int{\"a\": {1, 2,},}\nvar n = 0x1p-2 + 1_000i + .5e3 + 0b11 + 'é' + '\\u00e9'", "func f() { if f := func() bool { return T{} == u }; f() { } else if g { } else { } }",
+     "var x = f[int, []string](y)[0].(interface{ m() })", "func naïve(größe int) {}", "var p = (*T)(nil); var q = (<-chan int)(c)", "func f() { var x = struct{ a int }{1}; if (x == struct{ a int }{1}) { } }"],
+)
+def test_go_syntax(code):
+    assert go.tests(f"package p\n{code}\n".encode()) == []
+
+
+def test_deep_nesting():
+    assert go.tests(b"package p\nvar x = " + b"(" * 3000 + b"1" + b")" * 3000 + b"\n") == []
+
+
 def test_kotlin_extraction():
     got = kotlin.tests(KT.encode())
     assert [t["qualified"] for t in got] == ["Outer.adds parcels", "Outer.many", "Outer.Inner.nested", "topLevel"]
