@@ -21,7 +21,10 @@ _SCHEMA = "path string, ord int, qualified string, language string, name string,
 def _extract(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in it:
         rows = []
-        for path, language, content in zip(pdf.path, pdf.language, pdf.content, strict=True):
+        for path, language, content, reason in zip(pdf.path, pdf.language, pdf.content, pdf.reason, strict=True):
+            if reason is not None:
+                rows.append((path, -1, None, language, None, None, None, None, None, reason))
+                continue
             try:
                 found = READERS[language](bytes(content))
                 rows += [(path, i, t["qualified"], language, t["name"], t["annotations"], t["imports"], t["source"], t["features"], None) for i, t in enumerate(found)]
@@ -31,8 +34,12 @@ def _extract(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def extracted(files: DataFrame) -> DataFrame:
-    """(path, language, content) to tests and error rows in one schema; write it once before splitting it."""
-    rows = files.filter("content is not null").select("path", "language", "content").filter(F.col("language").isin(*READERS))
+    """(path, language, content[, reason]) to tests and error rows in one schema; write it once before splitting it.
+
+    A file with a reason (why it was not read) is an error row; one of neither content nor reason gives nothing.
+    """
+    reason = F.col("reason") if "reason" in files.columns else F.lit(None).cast("string")
+    rows = files.select("path", "language", "content", reason.alias("reason")).filter("content is not null or reason is not null").filter(F.col("language").isin(*READERS))
     return spread(rows).mapInPandas(_extract, _SCHEMA)
 
 

@@ -8,10 +8,13 @@ from __future__ import annotations
 import os
 import posixpath
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attestry import taxonomy as X
 from attestry.functions.evidence import literal_array
@@ -105,7 +108,7 @@ def pruned(path: Column) -> Column:
 
 def candidates(files: DataFrame, include: Iterable[str] = (), exclude: Iterable[str] = ()) -> DataFrame:
     """Of (path, source_path, root_ord, ...) the test files: excluded ones never, included ones beside those
-    of conventional names; of one source_path the row of the first root."""
+    of conventional names; of one source_path the row of the first root. Their order is that of in_order."""
     include, exclude = list(include), list(exclude)
     p = F.col("path")
     kept = files.withColumn("language", language(p)).filter(F.col("language").isNotNull() & ~pruned(p) & ~excluded(p, exclude))
@@ -114,37 +117,102 @@ def candidates(files: DataFrame, include: Iterable[str] = (), exclude: Iterable[
     return kept.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
 
+def in_order(files: DataFrame) -> DataFrame:
+    """Files by path, with equal paths by source path, as reports and runs take them."""
+    return files.orderBy("path", "source_path")
+
+
+#: Directories the driver looks into before it hands subtrees to tasks.
+FRONTIER = 256
+_LISTED = "path string, source_path string, root_ord int, length bigint"
+
+
+def _entries(at: str) -> list[os.DirEntry]:
+    with os.scandir(at) as it:
+        return sorted(it, key=lambda e: e.name)
+
+
+def _walk(root: str, at: str, deep: bool, hidden) -> Iterator[tuple[str, str, int]]:
+    """(path below root, absolute path, length) of the files in a directory and, if deep, below it."""
+    for e in _entries(at):
+        rel = os.path.relpath(e.path, root).replace(os.sep, "/")
+        if e.is_dir(follow_symlinks=False):
+            if deep and e.name not in X.PRUNED and not hidden(rel):
+                yield from _walk(root, e.path, True, hidden)
+        elif e.is_file():
+            yield rel, e.path, e.stat().st_size
+
+
 def list_files(spark: SparkSession, roots: Iterable[str] = (), exclude: Iterable[str] = ()) -> DataFrame:
-    """(path, source_path, root_ord, length) of the files under local roots; pruned directories are not entered.
+    """(path, source_path, root_ord, length) of the files under roots; pruned and excluded directories are not entered.
 
-    An explicit root of a pruned name is walked all the same; a missing root is an error.
+    Roots are folders or files of a file system that the executors share (a mount, or this machine). The
+    driver looks into at most about FRONTIER directories, for names of directories only; files are listed by
+    tasks, a directory or a whole subtree each, by their exact names. An explicit root of a pruned name is walked
+    all the same; a missing root is an error.
     """
-    rows = []
-    globs = [re.compile(r) for r in map(glob_regex, exclude) if r]
+    patterns = [r for r in map(glob_regex, exclude) if r]
+    globs = [re.compile(r) for r in patterns]
     hidden = lambda path: any(g.match("/" + path) for g in globs)
+    work: list[tuple[int, str, str, bool]] = []  # root's place, root, directory, with all below it
+    singles = []
     for order, root in enumerate(list(roots) or ["."]):
         root = os.path.normpath(root)
         if os.path.isfile(root):
-            rows.append((posixpath.normpath(root), os.path.abspath(root), order, os.path.getsize(root)))
-            continue
-        if not os.path.isdir(root):
+            singles.append((posixpath.normpath(root), os.path.abspath(root), order, os.path.getsize(root)))
+        elif not os.path.isdir(root):
             raise FileNotFoundError(root)
-        if hidden(root):
-            continue
-        for at, dirs, names in os.walk(root):
-            rel = os.path.relpath(at, root)
-            below = lambda n, rel=rel: n if rel == "." else f"{rel}/{n}"
-            dirs[:] = sorted(d for d in dirs if d not in X.PRUNED and not hidden(below(d)))
-            rows += [(below(n), os.path.abspath(os.path.join(at, n)), order, os.path.getsize(os.path.join(at, n))) for n in sorted(names)]
-    return spark.createDataFrame(rows, "path string, source_path string, root_ord int, length bigint")
-
-
-def read_files(files: DataFrame, most: int = X.FILE_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(files with content, skipped (path, reason)); over-long files are never opened."""
-    skipped = files.filter(F.col("length") > most).select("path", F.lit(f"file exceeds {most} byte limit").alias("reason"))
-    paths = [r[0] for r in files.filter(F.col("length") <= most).select("source_path").distinct().toLocalIterator()]
-    spark = files.sparkSession
-    if not paths:
-        return files.withColumn("content", F.lit(None).cast("binary")).limit(0), skipped
-    read = spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^file:/*", "/").alias("source_path"), "content")
-    return files.join(read, "source_path"), skipped
+        elif not hidden(root):
+            top = os.path.abspath(root)
+            queue, seen = [top], 0
+            while queue and seen < FRONTIER:
+                at, seen = queue.pop(0), seen + 1
+                work.append((order, top, at, False))
+                queue += [e.path for e in _entries(at) if e.is_dir(follow_symlinks=False) and e.name not in X.PRUNED and not hidden(os.path.relpath(e.path, top))]
+            work += [(order, top, at, True) for at in queue]
+
+    def over(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = [re.compile(r) for r in patterns]
+        for pdf in it:
+            for order, top, at, deep in pdf.itertuples(index=False):
+                files = _walk(top, at, bool(deep), lambda path: any(g.match("/" + path) for g in known))
+                while rows := [(p, s, order, n) for p, s, n in islice(files, 10_000)]:
+                    yield pd.DataFrame(rows, columns=["path", "source_path", "root_ord", "length"])
+
+    out = spark.createDataFrame(singles, _LISTED)
+    if work:
+        tasks = spark.createDataFrame(work, "root_ord int, top string, at string, deep boolean")
+        out = out.unionByName(tasks.repartition(min(len(work), 4 * spark.sparkContext.defaultParallelism)).mapInPandas(over, _LISTED))
+    return out
+
+
+def over_long(length: Column, most: int = X.FILE_BYTES) -> Column:
+    """Why a file of that length is not read, or null."""
+    return F.when(length > most, f"file exceeds {most} byte limit")
+
+
+def read_files(files: DataFrame, most: int = X.FILE_BYTES) -> DataFrame:
+    """files with content and reason: over-long files are never opened, unreadable ones have the reason of the failure."""
+    names = [*files.columns]
+    marked = files.withColumn("reason", over_long(F.col("length"), most))
+    schema = T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType()), T.StructField("reason", T.StringType())])
+
+    def over(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for start in range(0, len(pdf), 64):  # contents of some files at a time
+                part = pdf.iloc[start : start + 64]
+                content, reason = [], []
+                for path, why in zip(part.source_path, part.reason, strict=True):
+                    data = None
+                    if why is None:
+                        try:
+                            with open(path, "rb") as f:
+                                data = f.read(most + 1)
+                            if len(data) > most:
+                                data, why = None, f"file exceeds {most} byte limit"
+                        except OSError as e:
+                            why = f"read: {e.strerror or e}"
+                    content.append(data), reason.append(why)
+                yield part.assign(content=content, reason=reason)[[*names, "content", "reason"]]
+
+    return marked.mapInPandas(over, schema)

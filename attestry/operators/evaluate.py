@@ -111,17 +111,71 @@ def kappa(rows: DataFrame, a: str = "reviewer_a_primary", b: str = "reviewer_b_p
     return total.join(F.broadcast(both)).select(F.col("n").alias("records"), value.alias("kappa"))  # one row each
 
 
-def report(rows: DataFrame, min_confidence: float = 0.0, min_margin: float = 0.0) -> DataFrame:
-    """All sections as (section, key1, key2, metric, value) with values of three decimals, ordered."""
-    def long(df: DataFrame, section: str, keys: list[str], metrics: list[str]) -> DataFrame:
-        k = [F.col(c).cast("string") for c in keys] + [F.lit("")] * (2 - len(keys))
-        pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.expr(f"format_number(cast({m} as double), '0.000')").alias("v")) for m in metrics])).alias("p")
-        return df.select(F.lit(section).alias("section"), k[0].alias("key1"), k[1].alias("key2"), pairs).select("section", "key1", "key2", "p.metric", F.col("p.v").alias("value"))
-
-    out = long(acceptance(rows, min_confidence, min_margin), "summary", [], ["records", "accepted", "coverage", "accepted_accuracy"])
-    out = out.unionByName(long(macro_f1(rows), "summary", [], ["macro_f1"])).unionByName(long(kappa(rows), "summary", [], ["kappa"]))
-    out = out.unionByName(long(class_metrics(rows), "class", ["label"], ["precision", "recall", "f1"]))
-    out = out.unionByName(long(trait_metrics(rows), "trait", ["trait"], ["precision", "recall", "f1"]))
-    out = out.unionByName(long(confusion(rows), "confusion", ["human_primary", "predicted_primary"], ["n"]))
-    out = out.unionByName(long(slices(rows), "slice", ["slice", "value"], ["accuracy", "n"]))
-    return out.orderBy("section", "key1", "key2", "metric")
+def cells(rows: DataFrame, min_confidence: float = 0.0, min_margin: float = 0.0) -> DataFrame:
+    """(section, key1, key2, n, hit, extra): all counts of the report in one pass over the rows.
+
+    Every row is expanded to one line per section and key; partial sums are made before the shuffle, so
+    what moves is labels, traits, repositories and splits, whatever the number of rows.
+    """
+    none = literal_array(())
+    h, p = F.coalesce("human_traits", none), F.coalesce("predicted_traits", none)
+    right = F.col("human_primary") == F.col("predicted_primary")
+    on = F.lit(min_confidence > 0 and min_margin > 0)
+    sure = F.coalesce("confidence", F.lit(0.0))
+    ok = on & (sure >= min_confidence) & ~F.isnan(sure) & (margin(F.col("primary_probabilities"), floor=False) >= min_margin)
+    cell = lambda section, k1, k2, hit, extra=F.lit(False): F.struct(F.lit(section).alias("section"), k1.alias("key1"), k2.alias("key2"), hit.alias("hit"), extra.alias("extra"))
+    blank = F.lit("")
+    fixed = F.array(
+        cell("summary", blank, blank, ok, ok & right), cell("confusion", F.col("human_primary"), F.col("predicted_primary"), right),
+        cell("kappa", F.col("reviewer_a_primary"), F.col("reviewer_b_primary"), F.col("reviewer_a_primary") == F.col("reviewer_b_primary")),
+        cell("by_language", F.col("language"), blank, right), cell("by_repository", F.col("repository"), blank, right), cell("by_split", F.col("split"), blank, right),
+    )
+    traits = F.transform(F.array_union(h, p), lambda t: cell("trait", t, F.when(~F.array_contains(h, t), "predicted").when(~F.array_contains(p, t), "human").otherwise("both"), F.lit(True)))
+    each = rows.select(F.explode(F.concat(fixed, traits)).alias("c")).select("c.*")
+    return each.groupBy("section", "key1", "key2").agg(F.count("*").alias("n"), F.count_if("hit").alias("hit"), F.count_if("extra").alias("extra"))
+
+
+def summary(rows: DataFrame, min_confidence: float = 0.0, min_margin: float = 0.0) -> dict:
+    """The report's figures, from the counts of one pass: labels, traits, repositories and splits reach the driver."""
+    found = [r.asDict() for r in cells(rows, min_confidence, min_margin).toLocalIterator()]
+    of = lambda s: [r for r in found if r["section"] == s]
+    div = lambda a, b: a / b if b else 0.0
+
+    def scores(tp: int, fp: int, fn: int) -> tuple[float, float, float]:
+        return div(tp, tp + fp), div(tp, tp + fn), div(2 * tp, 2 * tp + fp + fn)
+
+    top = next(iter(of("summary")), {"n": 0, "hit": 0, "extra": 0})
+    table = {(r["key1"], r["key2"]): r["n"] for r in of("confusion")}
+    primary = {}
+    for label in sorted({x for pair in table for x in pair}):
+        tp = table.get((label, label), 0)
+        primary[label] = scores(tp, sum(n for (a, b), n in table.items() if b == label != a), sum(n for (a, b), n in table.items() if a == label != b))
+    traits = {}
+    for t in sorted({r["key1"] for r in of("trait")}):
+        n = {r["key2"]: r["n"] for r in of("trait") if r["key1"] == t}
+        traits[t] = scores(n.get("both", 0), n.get("predicted", 0), n.get("human", 0))
+    pairs = of("kappa")
+    a, b = ({}, {})
+    for r in pairs:
+        a[r["key1"]] = a.get(r["key1"], 0) + r["n"]
+        b[r["key2"]] = b.get(r["key2"], 0) + r["n"]
+    n = top["n"]
+    seen, chance = div(sum(r["hit"] for r in pairs), n), div(sum(a[x] * b.get(x, 0) for x in a), n * n)
+    return {
+        "records": n, "kappa": 0.0 if not n else 1.0 if chance == 1 else (seen - chance) / (1 - chance), "macro_f1": div(sum(f for _, _, f in primary.values()), len(primary)), "primary": primary, "traits": traits,
+        "confusion": sorted((*k, v) for k, v in table.items()), "coverage": div(top["hit"], n), "accuracy": div(top["extra"], top["hit"]),
+        **{s: sorted((r["key1"], div(r["hit"], r["n"]), r["n"]) for r in of(s)) for s in ("by_language", "by_repository", "by_split")},
+    }
+
+
+def report_text(rows: DataFrame, min_confidence: float = 0.0, min_margin: float = 0.0) -> str:
+    """The report as text, sections in a fixed order, names sorted."""
+    s = summary(rows, min_confidence, min_margin)
+    out = [f"records: {s['records']}", f"reviewer_cohens_kappa: {s['kappa']:.3f}", f"macro_f1: {s['macro_f1']:.3f}"]
+    for head in ("primary", "traits"):
+        out += [f"{head}:", *(f"  {k} precision={p:.3f} recall={r:.3f} f1={f:.3f}" for k, (p, r, f) in s[head].items())]
+    out += ["confusion_matrix:", *(f"  {a} -> {b}: {n}" for a, b, n in s["confusion"])]
+    out += [f"accepted_coverage: {s['coverage']:.3f}", f"accepted_accuracy: {s['accuracy']:.3f}"]
+    for head in ("by_language", "by_repository", "by_split"):
+        out += [f"{head}:", *(f"  {k} accuracy={a:.3f} n={n}" for k, a, n in s[head])]
+    return "\n".join(out) + "\n"

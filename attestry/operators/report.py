@@ -31,6 +31,11 @@ def render(table: DataFrame) -> str:
     return "\n".join([line(list(HEADER)), *body]) + "\n"
 
 
+def render_header() -> str:
+    """The table of no rows."""
+    return "".join(h.ljust(len(h) + 2) for h in HEADER[:-1]) + HEADER[-1] + "\n"
+
+
 def skipped_rows(skipped: DataFrame) -> DataFrame:
     return skipped.select("path", "reason").orderBy("path", "reason")
 

@@ -16,52 +16,83 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from attestry import taxonomy as X
 from attestry.functions.evidence import capped, literal_array, merged_traits, parser_traits, truncated
+from attestry.questions import PRIMARY_QUESTION, questions_json
 
-ANSWER = "struct<type: string, choice: string, probabilities: map<string,double>, confidence: double, noul: double>"
-RESPONSE = f"model string, answers map<string, {ANSWER}>"
-PRIMARY_QUESTION = "primary_type"
 
 
 def trait_question(trait: Column) -> Column:
     return F.concat(F.lit("trait_"), trait)
 
 
-def _strict(raw: pd.Series) -> pd.Series:
-    """JSON of one document with lower-case field names, or null: no trailing data, no NaN or Infinity."""
+_ANSWER_TYPE = T.StructType([
+    T.StructField("type", T.StringType()), T.StructField("choice", T.StringType()), T.StructField("probabilities", T.MapType(T.StringType(), T.DoubleType())),
+    T.StructField("confidence", T.DoubleType()), T.StructField("noul", T.DoubleType()),
+])
+_DECODED = T.StructType([T.StructField("model", T.StringType()), T.StructField("answers", T.MapType(T.StringType(), _ANSWER_TYPE)), T.StructField("valid_json", T.BooleanType())])
+
+
+def _typed(text: str | None) -> tuple:
+    """(model, answers, valid) of one document: no trailing data, no NaN or Infinity; known names in any letter case; a value
+    of another type than its field's makes the document invalid."""
 
     def no(_):
         raise ValueError
 
-    names = {"model", "answers", "type", "choice", "probabilities", "confidence", "noul"}
+    def field(doc: dict, name: str, kind):
+        found = [v for k, v in doc.items() if k.lower() == name]
+        v = found[-1] if found else None
+        if v is not None and (not isinstance(v, kind) or isinstance(v, bool)):
+            raise ValueError
+        return v
 
-    def fold(x):
-        return {k.lower() if k.lower() in names else k: fold(v) for k, v in x.items()} if isinstance(x, dict) else [fold(v) for v in x] if isinstance(x, list) else x
+    def number(v):
+        if v is not None and (isinstance(v, bool) or not isinstance(v, int | float)):
+            raise ValueError
+        return None if v is None else float(v)
 
-    def one(text):
-        try:
-            doc = json.loads(text, parse_constant=no)
-            return json.dumps(fold(doc)) if isinstance(doc, dict) else None
-        except (TypeError, ValueError, RecursionError):
+    def answer(a):
+        if a is None:
             return None
+        if not isinstance(a, dict):
+            raise ValueError
+        p = field(a, "probabilities", dict)
+        return {
+            "type": field(a, "type", str), "choice": field(a, "choice", str), "probabilities": None if p is None else [(k, number(v)) for k, v in p.items()],
+            "confidence": number(field(a, "confidence", (int, float))), "noul": number(field(a, "noul", (int, float))),
+        }
+
+    try:
+        doc = json.loads(text, parse_constant=no)
+        if not isinstance(doc, dict):
+            raise ValueError
+        answers = field(doc, "answers", dict)
+        return field(doc, "model", str), None if answers is None else [(k, answer(v)) for k, v in answers.items()], True
+    except (TypeError, ValueError, OverflowError, RecursionError):
+        return None, None, False
 
-    return raw.map(one)
 
+def decoded(responses: DataFrame, raw: str = "response") -> DataFrame:
+    """responses with model, answers and valid_json; model and answers are null where the text is no single JSON object. Parsed once."""
+    names = [c for c in responses.columns if c not in _DECODED.names]
+    base = responses.select(*names, F.col(raw).alias("_raw"))
+    schema = T.StructType([*base.schema.fields[:-1], *_DECODED.fields])
+    parts = [to_arrow_type(f.dataType) for f in _DECODED.fields]
 
-strict_json = F.pandas_udf(_strict, T.StringType())
-
+    def over(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            rows = [_typed(t) for t in batch.column(len(names)).to_pylist()]
+            arrays = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(parts)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *arrays], names=[*names, *_DECODED.names])
 
-def decoded(responses: DataFrame, raw: str = "response") -> DataFrame:
-    """responses with model and answers; both null where the text is no single JSON object."""
-    clean = responses.withColumn("_clean", strict_json(F.col(raw)))
-    # explode of one keeps the parsed answer a column: Catalyst would else parse anew for every field that is read
-    parsed = clean.withColumn("_r", F.explode(F.array(F.from_json("_clean", RESPONSE))))
-    return parsed.withColumns({"model": F.col("_r.model"), "answers": F.col("_r.answers"), "valid_json": F.col("_clean").isNotNull()}).drop("_r", "_clean")
+    return base.mapInArrow(over, schema)
 
 
 def probability_sum(p: Column) -> Column:
@@ -119,16 +150,42 @@ def predictions(evidence: DataFrame, responses: DataFrame, asked=X.ASKED) -> Dat
     return out.withColumn("traits", F.when(F.col("_nouls").isNotNull(), merged_traits(parser_traits(names), F.col("_nouls")))).drop("_nouls")
 
 
-def requests(evidence: DataFrame, model: str, questions: str = "{}") -> DataFrame:
-    """(seq, request JSON, too_long): what a provider sends, bounded; a request beyond the bound is not sent."""
-    if model.strip() == "" or model == "latest" or model.endswith("-latest"):
+def pinned(model: str) -> bool:
+    """Whether a model's name says which version it is."""
+    return model.strip() != "" and model != "latest" and not model.endswith("-latest")
+
+
+def requests(evidence: DataFrame, model: str, asked=X.ASKED, experimental: bool = False) -> DataFrame:
+    """(seq, request JSON, too_long): model, state and questions as a provider sends them; a request beyond the bound is not sent.
+
+    A floating model name is refused unless experimental is set.
+    """
+    if not model.strip() or not (experimental or pinned(model)):
         raise ValueError("the model must be pinned")
     none = literal_array(())
     state = F.struct(
         F.coalesce("language", F.lit("")).alias("language"), F.coalesce(F.nullif("name", F.lit("")), "qualified").alias("test_name"), capped(F.coalesce("annotations", none)).alias("annotations"),
         capped(F.coalesce("imports", none)).alias("imports"), capped(F.coalesce(F.transform("features", lambda f: f["name"]), none)).alias("features"), truncated(F.coalesce("source", F.lit(""))).alias("source"),
     )
-    return evidence.select("seq", F.to_json(F.struct(F.lit(model).alias("model"), state.alias("state"), F.lit(questions).alias("questions"))).alias("request")).withColumn("too_long", F.octet_length("request") > X.REQUEST_BYTES)
+    head = F.to_json(F.struct(F.lit(model).alias("model"), state.alias("state")))
+    # the questions are the same for every test: their text is put before the object's last brace
+    request = F.concat(F.substring(head, F.lit(1), F.char_length(head) - 1), F.lit(f',"questions":{questions_json(tuple(asked))}}}'))
+    return evidence.select("seq", request.alias("request")).withColumn("too_long", F.octet_length("request") > X.REQUEST_BYTES)
+
+
+def error_text(body: bytes) -> str:
+    """A short text of an error's body: its "error" or "message" (text, or an object's "message"), else its first 200 bytes."""
+    plain = body.decode("utf-8", "replace").strip()
+    try:
+        doc = json.loads(body)
+    except ValueError:
+        doc = None
+    for key in ("error", "message") if isinstance(doc, dict) else ():
+        value = doc.get(key)
+        value = value.get("message") if isinstance(value, dict) else value
+        if isinstance(value, str) and value:
+            return value
+    return plain.encode()[:200].decode("utf-8", "ignore")
 
 
 def backoff(attempt: int, base: float = 0.5, most: float = 8.0, jitter: Callable[[], float] = random.random) -> float:
@@ -162,6 +219,7 @@ class HttpProvider:
     retries: int = 3
     timeout: float = 60.0
     most: int = 1 << 20
+    experimental: bool = False
 
     def _post(self, body: bytes) -> tuple[str | None, str | None]:
         for attempt in range(self.retries + 1):
@@ -172,7 +230,7 @@ class HttpProvider:
                 return (data.decode("utf-8", "replace"), None) if len(data) <= self.most else (None, "response too long")
             except urllib.error.HTTPError as e:
                 if e.code not in (429, 529) or attempt == self.retries:
-                    text = e.read(200).decode("utf-8", "replace")
+                    text = error_text(e.read(self.most + 1))
                     return None, "authentication failed" if e.code == 401 else f"status {e.code}: {text}".replace(self.key, "[redacted]")
                 time.sleep(backoff(attempt))
             except (TimeoutError, OSError) as e:
@@ -186,4 +244,4 @@ class HttpProvider:
                 yield pd.DataFrame({"seq": pdf.seq, "response": [r for r, _ in out], "error": [e for _, e in out]})
 
         # one request at a time in each of at most ``concurrency`` tasks
-        return requests(evidence, self.model).repartition(max(1, self.concurrency)).mapInPandas(send, "seq bigint, response string, error string")
+        return requests(evidence, self.model, experimental=self.experimental).repartition(max(1, self.concurrency)).mapInPandas(send, "seq bigint, response string, error string")

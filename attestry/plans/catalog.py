@@ -11,6 +11,7 @@ from attestry.operators import discovery as D
 from attestry.operators import evaluate as V
 from attestry.operators import report as R
 from attestry.operators import responses as A
+from attestry.plans import cases as C
 from attestry.runtime import Query, numbered, table
 
 _QUERIES: dict[str, Query] = {}
@@ -57,9 +58,11 @@ _MARGIN = "case when coalesce(cardinality(primary_probabilities), 0) < 2 then 0
 _REC = "evaluation_records"
 
 
-@query("flt_6_not_pending", _REC, "select id, recorded_at, confidence from evaluation_records where not coalesce(pending_human_review, false)")
+@query("flt_6_not_pending", _REC, "select id, recorded_at, coalesce(isnan(confidence), false) as no_number, case when not isnan(confidence) then confidence end as confidence from evaluation_records where not coalesce(pending_human_review, false)")
 def _(r):
-    return r.filter(~F.coalesce("pending_human_review", F.lit(False))).select("id", "recorded_at", "confidence")
+    """A confidence that is no number is told by a flag: NaN equals nothing, itself included."""
+    kept = r.filter(~F.coalesce("pending_human_review", F.lit(False)))
+    return kept.select("id", "recorded_at", F.isnan("confidence").alias("no_number"), F.nanvl("confidence", F.lit(None).cast("double")).alias("confidence"))
 
 
 @query("flt_7_vocabulary", _REC, f"select human_primary, coalesce(human_primary in ({_P}), false) as known, count(*) n from evaluation_records group by 1, 2")
@@ -139,9 +142,25 @@ def _(r):
     return V.macro_f1(V.valid(r))
 
 
-@query("snk_3_report", _REC)
+_RIGHT = "human_primary = predicted_primary"
+_CELLS = " union all ".join(
+    f"select '{section}' as section, {k1} as key1, {k2} as key2, count(*) n, count(*) filter (where {hit}) hit, count(*) filter (where {extra}) extra from ac group by 1, 2, 3"
+    for section, k1, k2, hit, extra in (
+        ("summary", "''", "''", "ok", f"ok and {_RIGHT}"), ("confusion", "human_primary", "predicted_primary", _RIGHT, "false"), ("kappa", "reviewer_a_primary", "reviewer_b_primary", "reviewer_a_primary = reviewer_b_primary", "false"),
+        ("by_language", "language", "''", _RIGHT, "false"), ("by_repository", "repository", "''", _RIGHT, "false"), ("by_split", "split", "''", _RIGHT, "false"),
+    )
+)
+
+
+@query(
+    "snk_3_report", _REC,
+    f"""{_EV}, ac as (select *, coalesce(confidence, 0) >= 0.5 and not isnan(coalesce(confidence, 0)) and {_MARGIN} >= 0.2 ok from ev),
+one as (select coalesce(human_traits, []) h, coalesce(predicted_traits, []) p, unnest(list_distinct(list_concat(coalesce(human_traits, []), coalesce(predicted_traits, [])))) t from ev)
+{_CELLS} union all select 'trait', t, case when not list_contains(h, t) then 'predicted' when not list_contains(p, t) then 'human' else 'both' end, count(*), count(*), 0 from one group by 1, 2, 3""",
+)
 def _(r):
-    return V.report(V.valid(r), 0.5, 0.2)
+    """All counts that the report's text is made of, in one pass."""
+    return V.cells(V.valid(r), 0.5, 0.2)
 
 
 @query(
@@ -170,9 +189,14 @@ def _(r):
     return r.select("id", "recorded_at", E.decision(F.col("predicted_primary"), F.col("confidence"), F.round(E.margin(F.col("primary_probabilities")), 9), 0.8, 0.5).alias("decision"))
 
 
-@query("pol_1_default_policy", _REC, "select id, recorded_at, 'review' as decision from evaluation_records")
+@query(
+    "pol_1_default_policy", _REC,
+    f"select id, recorded_at, language, case when language = 'go' and coalesce(predicted_primary <> '' and confidence >= 0.3 and round({_MARGIN}, 9) >= 0.1, false) then 'accept' else 'review' end as decision from evaluation_records",
+)
 def _(r):
-    return r.select("id", "recorded_at", E.decision(F.col("predicted_primary"), F.col("confidence"), F.lit(0.0)).alias("decision"))
+    """Thresholds are set for Go only: everything else goes the way of the default policy, which reviews whatever the answer."""
+    answer = (F.col("predicted_primary"), F.col("confidence"), F.round(E.margin(F.col("primary_probabilities")), 9))
+    return r.select("id", "recorded_at", "language", F.when(F.col("language") == "go", E.decision(*answer, 0.3, 0.1)).otherwise(E.decision(*answer)).alias("decision"))
 
 
 @query(
@@ -281,16 +305,44 @@ def _(e):
     return paths.join(F.broadcast(rules), hit).groupBy("x", "n").agg(F.min_by("label", "ord").alias("label")).groupBy("label").agg(F.sum("n").alias("n"))
 
 
-@query("flt_11_kotlin_tests", _EVD, f"select seq, recorded_at, len(list_filter(coalesce(annotations, []), lambda a: regexp_extract(a, '^@(?:[a-z]+:)?(?:[A-Za-z_0-9]+\\.)*([A-Za-z_0-9]+)', 1) in ({_sql_list(X.TEST_ANNOTATIONS)}))) > 0 as is_test from test_evidence where language = 'kotlin'")
+# Sources of the evidence table, read again by the readers: Kotlin functions as they stand, Go functions after a package clause.
+_WHOLE = f"source is not null and source not like '%{X.TRUNCATED.strip()}' and qualified not like '%/%'"
+_READ_AGAIN = f"select distinct seq, source from test_evidence where language = '{{0}}' and {_WHOLE}"
+
+
+def _read_again(e: DataFrame, language: str) -> DataFrame:
+    from attestry.extract import stage
+
+    rows = e.filter(F.col("language") == language).filter(_WHOLE).select("seq", "source").distinct()
+    text = F.concat(F.lit("package p\n\n"), "source") if language == "go" else F.col("source")
+    return stage.extracted(rows.select(F.col("seq").cast("string").alias("path"), F.lit(language).alias("language"), F.encode(text, "UTF-8").alias("content")))
+
+
+@query("flt_11_kotlin_tests", _EVD, f"select seq, count(*) n from ({_READ_AGAIN.format('kotlin')}) where regexp_matches(source, '@(?:[a-z]+:)?(?:[A-Za-z_0-9]+\\.)*({'|'.join(X.TEST_ANNOTATIONS)})\\b') group by 1")
 def _(e):
-    names = F.transform(F.coalesce("annotations", E.literal_array(())), lambda a: F.regexp_extract(a, r"^@(?:[a-z]+:)?(?:[A-Za-z_0-9]+\.)*([A-Za-z_0-9]+)", 1))
-    return e.filter("language = 'kotlin'").select("seq", "recorded_at", F.arrays_overlap(names, E.literal_array(X.TEST_ANNOTATIONS)).alias("is_test"))
+    """The Kotlin reader over every whole Kotlin source: which are tests by their annotations."""
+    return _read_again(e, "kotlin").filter("error is null").groupBy(F.col("path").cast("bigint").alias("seq")).agg(F.count("*").alias("n"))
+
+
+# Kotlin text without its strings, comments (of which the innermost go first) and the names of functions where they are declared.
+_BARE = r'''regexp_replace(regexp_replace(regexp_replace(regexp_replace(source, '"""[\s\S]*?"""|"(?:\\.|[^"\\\n])*"|''(?:\\.|[^''\\\n])+''|//[^\n]*', ' ', 'g'), '/\*(?:[^*/]|\*[^/]|/[^*])*\*/', ' ', 'g'), '/\*[\s\S]*?\*/', ' ', 'g'), '\bfun\s+(?:`[^`]*`|\w+)\s*\(', ' ', 'g')'''
 
+# A brace on the line after the signature is not taken for its body.
+_BODIED = "not regexp_matches(source, 'fun [^\\n]*\\)[^\\n{=]*\\n\\s*\\{')"
 
-@query("flt_12_golden_calls", _EVD, "select seq, recorded_at, regexp_matches(source, '(?i)[A-Za-z_]*golden[A-Za-z_0-9]*\\(') golden, regexp_matches(source, '(?i)[A-Za-z_]*snapshot[A-Za-z_0-9]*\\(') snapshot from test_evidence where source is not null")
+
+@query("flt_12_golden_calls", _EVD, f"select seq, {_BODIED} and regexp_matches({_BARE}, '(?i)[A-Za-z_0-9]*golden[A-Za-z_0-9]*`?\\s*\\(') golden, {_BODIED} and regexp_matches({_BARE}, '(?i)[A-Za-z_0-9]*snapshot[A-Za-z_0-9]*`?\\s*\\(') snapshot from (" + _READ_AGAIN.format("kotlin") + f") where regexp_matches(source, '@(?:[a-z]+:)?(?:[A-Za-z_0-9]+\\.)*({'|'.join(X.TEST_ANNOTATIONS)})\\b')")
+def _(e):
+    """The Kotlin reader over every whole Kotlin test: which call something golden or a snapshot."""
+    has = lambda f: F.array_contains("names", f)
+    return _read_again(e, "kotlin").filter("error is null").select(F.col("path").cast("bigint").alias("seq"), has("golden comparison call").alias("golden"), has("snapshot assertion call").alias("snapshot"))
+
+
+@query("gen_6_interval", _EVD, f"select seq, regexp_matches(source, 'for [^\\n]*range [^\\n]*\\{{\\n(?:[^\\n]*\\n)?\\s*t\\.Run\\(') table_driven from ({_READ_AGAIN.format('go')}) where regexp_matches(source, '^func Test\\w*\\(t \\*testing\\.T\\)')")
 def _(e):
-    call = lambda w: F.col("source").rlike(rf"(?i)[A-Za-z_]*{w}[A-Za-z_0-9]*\(")
-    return e.filter("source is not null").select("seq", "recorded_at", call("golden").alias("golden"), call("snapshot").alias("snapshot"))
+    """The Go reader over every whole Go test: whether a call of t.Run lies inside the span of a range loop."""
+    found = _read_again(e, "go").filter("error is null and qualified not like '%/%'").filter(F.col("source").rlike(r"^func Test\w*\(t \*testing\.T\)"))
+    return found.select(F.col("path").cast("bigint").alias("seq"), F.array_contains("names", "go table-driven subtest loop").alias("table_driven")).distinct()
 
 
 @query("flt_13_run_size", _EVD, f"select count(*) n, count(*) > {X.RUN_TESTS} as too_many from test_evidence")
@@ -298,9 +350,19 @@ def _(e):
     return e.agg(F.count("*").alias("n")).withColumn("too_many", F.col("n") > X.RUN_TESTS)
 
 
-@query("prj_12_requests", _EVD)
+@query(
+    "prj_12_requests", _EVD,
+    f"select seq, '{X.MODEL}' as model, coalesce(language, '') as language, coalesce(nullif(name, ''), qualified) as test_name, len(coalesce(annotations, [])[1:64]) n_annotations, len(coalesce(imports, [])[1:64]) n_imports, array_to_string({_NAMES}[1:64], '|') as features, coalesce({_cut_sql(8192)}, '') as source, {1 + len(X.ASKED)} as n_questions, 'noul' as kind, false as too_long from test_evidence",
+)
 def _(e):
-    return A.requests(e, X.MODEL)
+    """Requests, read back: model, state and questions of every one."""
+    state = "struct<language: string, test_name: string, annotations: array<string>, imports: array<string>, features: array<string>, source: string>"
+    r = A.requests(e, X.MODEL).withColumn("r", F.from_json("request", f"model string, state {state}, questions map<string, struct<type: string>>"))
+    n = lambda c: F.size(c).cast("bigint")
+    return r.select(
+        "seq", "r.model", "r.state.language", "r.state.test_name", n("r.state.annotations").alias("n_annotations"), n("r.state.imports").alias("n_imports"), F.array_join("r.state.features", "|").alias("features"), "r.state.source",
+        F.size("r.questions").alias("n_questions"), F.col("r.questions")["trait_database"]["type"].alias("kind"), "too_long",
+    )
 
 
 @query("prj_13_questions", _EVD, f"select 'trait_' || unnest([{_sql_list(X.ASKED)}]) as question, (select count(*) from test_evidence) n_tests")
@@ -316,72 +378,101 @@ def _(e):
     return numbered(ordered, "position").select("test", "seq", "position")
 
 
-@query("snk_1_report_rows", _EVD, f"select '' as type, array_to_string(list_sort({_TRAITS_SQL}), ',') as traits, '0.00' as conf, 'review' as status, path || '::' || qualified as test from test_evidence")
-def _(e):
-    names = F.coalesce(F.transform("features", lambda f: f["name"]), E.literal_array(()))
-    none = F.expr("cast(map() as map<string, double>)")
-    shown = e.select("seq", "path", "qualified", E.merged_traits(E.parser_traits(names), none).alias("traits"), F.lit("").alias("primary"), F.lit(0.0).alias("confidence"), F.lit("review").alias("decision"))
+@query(
+    "snk_1_report_rows", _REC,
+    f"""select coalesce(predicted_primary, '') as type, array_to_string(list_sort(list_distinct(coalesce(predicted_traits, []))), ',') as traits, printf('%.2f', confidence) as conf,
+case when coalesce(predicted_primary <> '' and confidence >= 0.8 and round({_MARGIN}, 9) >= 0.5, false) then 'accept' else 'review' end as status, repository || '::' || id as test from evaluation_records where confidence between 0 and 1 and not isnan(confidence)""",
+)
+def _(r):
+    """Reviewed records as report rows: type, present traits, confidence, decision and id of every one."""
+    present = F.transform(F.array_distinct(F.coalesce("predicted_traits", E.literal_array(()))), lambda t: F.struct(t.alias("k"), F.struct(F.lit(True).alias("present")).alias("v")))
+    shown = r.filter("confidence between 0 and 1").select(
+        F.col("recorded_at").alias("seq"), F.col("repository").alias("path"), F.col("id").alias("qualified"), F.map_from_entries(present).alias("traits"), F.coalesce("predicted_primary", F.lit("")).alias("primary"), "confidence",
+        E.decision(F.col("predicted_primary"), F.col("confidence"), F.round(E.margin(F.col("primary_probabilities")), 9), 0.8, 0.5).alias("decision"),
+    )
     return R.rows(shown)
 
 
-# -- model answers: recorded responses derived from the evidence ---------------------------------
-_NOUL = "((seq + 17 * {i}) % 101) / 100.0"
+# -- model answers -------------------------------------------------------------------------------
+def _case_list(values) -> str:
+    return "[" + ", ".join("null" if v is None else "'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
-def _recorded(e: DataFrame) -> DataFrame:
-    """Recorded responses (seq, response): two probable labels, seven trait answers; some malformed."""
-    seq = F.col("seq")
-    label = lambda k: F.element_at(E.literal_array(X.PRIMARY), F.pmod(seq + k, F.lit(8)).cast("int") + 1)
-    p = (F.pmod(seq, F.lit(41)) + 40) / 100
-    answers = [f'"trait_{t}":{{"type":"noul","noul":%s}}' for t in X.ASKED]
-    nouls = [F.format_number(F.pmod(seq + 17 * i, F.lit(101)) / 100, 2) for i in range(len(X.ASKED))]
-    shape = '{"model":"%s","answers":{"primary_type":{"type":"choice","choice":"%s","probabilities":{"%s":%s,"%s":%s},"confidence":%s},' + ",".join(answers) + "}}%s"
-    model = F.when(F.pmod(seq, F.lit(50)) == 1, "").otherwise(F.lit(X.MODEL))
-    tail = F.when(F.pmod(seq, F.lit(50)) == 2, " {}").otherwise("")
-    second = F.when(F.pmod(seq, F.lit(50)) == 3, F.lit("0.90")).otherwise(F.format_number(1 - p, 2))
-    choice = F.when(F.pmod(seq, F.lit(50)) == 4, "nonsense").otherwise(label(0))
-    return e.select("seq", F.format_string(shape, model, choice, label(0), F.format_number(p, 2), label(1), second, F.format_number(F.pmod(seq, F.lit(101)) / 100, 2), *nouls, tail).alias("response"))
+@query("cls_3_4_stored_cases", _EVD, f"select seq, cast({_case_list(e for _, e in C.RESPONSES)}[seq % {len(C.RESPONSES)} + 1] as varchar) as response_error from (select distinct seq from test_evidence)")
+def _(e):
+    """The stored answers, one to every test: each must have the error written beside it."""
+    texts = E.literal_array([r for r, _ in C.RESPONSES])
+    one = e.select("seq").distinct().select("seq", F.get(texts, F.pmod("seq", F.lit(len(C.RESPONSES))).cast("int")).alias("response"))
+    return A.decoded(one).withColumn("response_error", A.response_error()).select("seq", "response_error")
 
 
-_FAULT = "case seq % 50 when 2 then 'invalid JSON' when 1 then 'missing model' when 4 then 'unknown primary type' when 3 then 'probability sum' end"
+def _answered(r: DataFrame, asked) -> DataFrame:
+    """Answers with what the records say, dirt included: a record's model, label, probabilities and confidence, and a value for each
+    of the traits in ``asked`` (an array column), which is high for a predicted one."""
+    noul = lambda t: F.struct(F.lit("noul").alias("type"), F.lit(None).cast("string").alias("choice"), F.lit(None).cast("map<string,double>").alias("probabilities"), F.lit(None).cast("double").alias("confidence"), F.when(F.array_contains(F.coalesce("predicted_traits", E.literal_array(())), t), 0.9).otherwise(0.1).alias("noul"))
+    primary = F.struct(F.lit("choice").alias("type"), F.col("predicted_primary").alias("choice"), F.col("primary_probabilities").alias("probabilities"), F.col("confidence").alias("confidence"), F.lit(None).cast("double").alias("noul"))
+    answers = F.map_concat(F.create_map(F.lit("primary_type"), primary), F.map_from_entries(F.transform(asked, lambda t: F.struct(A.trait_question(t).alias("k"), noul(t).alias("v")))))
+    return r.select("id", "recorded_at", "predicted_traits", "human_traits", F.to_json(F.struct("model", answers.alias("answers"))).alias("response"))
 
 
-@query("cls_1_4_response_errors", _EVD, f"select seq, {_FAULT} as response_error from (select distinct seq from test_evidence)")
-def _(e):
-    one = e.select("seq").distinct()
-    return A.decoded(_recorded(one)).withColumn("response_error", A.response_error()).select("seq", "response_error")
+_ANSWER_ERROR = f"""case when isnan(confidence) or len(list_filter(map_values(primary_probabilities), lambda x: isnan(x))) > 0 then 'invalid JSON' when coalesce(model, '') = '' then 'missing model'
+when not coalesce(predicted_primary in ({_P}), false) then 'unknown primary type' when coalesce(cardinality(primary_probabilities), 0) = 0 then 'no probabilities'
+when confidence is null then 'no confidence' when confidence < 0 or confidence > 1 then 'confidence out of range'
+when len(list_filter(map_keys(primary_probabilities), lambda x: x not in ({_P}))) > 0 then 'unknown probability label' when len(list_filter(map_values(primary_probabilities), lambda x: x is null or x < 0 or x > 1)) > 0 then 'probability out of range'
+when round(abs(list_sum(map_values(primary_probabilities)) - 1), 9) > 0.02 then 'probability sum' when not list_contains(map_keys(primary_probabilities), predicted_primary) then 'choice not in probabilities' end"""
 
 
-@query("jon_4_missing_answers", _EVD, "select seq, '' as missing from (select distinct seq from test_evidence) where seq % 50 <> 2")
-def _(e):
-    d = A.decoded(_recorded(e.select("seq").distinct())).filter("valid_json")
-    return d.select("seq", F.array_join(A.missing_answers(F.col("answers")), ",").alias("missing"))
+@query("cls_1_4_response_errors", _REC, f"select id, recorded_at, {_ANSWER_ERROR} as response_error from evaluation_records")
+def _(r):
+    """Every record's answer as JSON, decoded and checked: the first fault of each. A confidence of NaN is not a JSON number."""
+    return A.decoded(_answered(r, E.literal_array(X.ASKED))).withColumn("response_error", A.response_error()).select("id", "recorded_at", "response_error")
+
+
+_NAMED = "list_concat(coalesce(human_traits, []), coalesce(predicted_traits, []))"
+
+
+@query("jon_4_missing_answers", _REC, f"select id, recorded_at, array_to_string(list_filter([{_sql_list(X.ASKED)}], lambda t: not list_contains({_NAMED}, t)), ',') as missing from evaluation_records where not coalesce(isnan(confidence), false) and len(list_filter(coalesce(map_values(primary_probabilities), []), lambda x: isnan(x))) = 0")
+def _(r):
+    """Answers to the traits that a record names, against those that are asked: which are missing."""
+    none = E.literal_array(())
+    d = A.decoded(_answered(r, F.array_union(F.coalesce("human_traits", none), F.coalesce("predicted_traits", none)))).filter("valid_json")
+    return d.select("id", "recorded_at", F.array_join(A.missing_answers(F.col("answers")), ",").alias("missing"))
 
 
-_JEV = " union all ".join(f"select seq, '{t}' as trait, ((seq + 17 * {i}) % 101) / 100.0 as m from (select distinct seq from test_evidence where {_FAULT} is null)" for i, t in enumerate(X.ASKED))
+@query("agg_11_errors", _REC, f"select row_number() over (order by id, recorded_at, f) as position, id || ': ' || f as error from (select id, recorded_at, {_ANSWER_ERROR} f from evaluation_records) where f is not null and id is not null")
+def _(r):
+    """All errors in order, as numbered rows: their number is not bounded, so they are not joined into one text."""
+    d = A.decoded(_answered(r, E.literal_array(X.ASKED))).withColumn("err", A.response_error()).filter("err is not null and id is not null").select("id", "recorded_at", "err")
+    ordered = numbered(d.repartitionByRange("id", "recorded_at", "err").sortWithinPartitions("id", "recorded_at", "err"), "position")
+    return ordered.select("position", F.concat("id", F.lit(": "), "err").alias("error"))
+
+
+_JEV = " union all ".join(f"select seq, '{t}' as trait, ((seq + 17 * {i}) % 101) / 100.0 as m from (select distinct seq from test_evidence)" for i, t in enumerate(X.ASKED))
+
+
+def _recorded(seqs: DataFrame) -> DataFrame:
+    """Recorded answers (seq, response) with trait values by seq, to be merged with what the parser found."""
+    value = lambda i: F.format_number(F.pmod(F.col("seq") + 17 * i, F.lit(101)) / 100, 2)
+    answers = ",".join(f'"trait_{t}":{{"type":"noul","noul":%s}}' for t in X.ASKED)
+    shape = '{"model":"m-1","answers":{"primary_type":{"type":"choice","choice":"unit","probabilities":{"unit":0.6,"other":0.4},"confidence":0.5},' + answers + "}}"
+    return seqs.select("seq", F.format_string(shape, *map(value, range(len(X.ASKED)))).alias("response"))
 
 
 @query(
     "jon_1_3_merged_traits", _EVD,
-    f"""with m as ({_JEV}), one as (select seq, any_value(features) as features from test_evidence where {_FAULT} is null group by seq),
+    f"""with m as ({_JEV}), one as (select seq, arg_max(features, recorded_at) as features from (select * replace (coalesce(features, []) as features) from test_evidence) group by seq),
 p as (select seq, unnest({_TRAITS_SQL}) trait from one)
 select coalesce(m.seq, p.seq) seq, coalesce(m.trait, p.trait) trait, p.trait is not null or m.m >= 0.5 as present, round(coalesce(m.m, 1), 6) as probability,
 case when m.m is null then 'parser' when p.trait is null then 'jev' else 'combined' end as source from m full join p on m.seq = p.seq and m.trait = p.trait""",
 )
 def _(e):
-    one = e.groupBy("seq").agg(F.any_value("features").alias("features"))
-    p = A.predictions(one, _recorded(one.select("seq"))).filter("response_error is null")
+    """The latest delivery of every test, merged with its answer."""
+    none = F.expr("cast(array() as array<struct<name: string, source: string>>)")
+    one = e.groupBy("seq").agg(F.max_by(F.coalesce("features", none), "recorded_at").alias("features"))
+    p = A.predictions(one, _recorded(e.select("seq").distinct())).filter("response_error is null")
     return p.select("seq", F.explode("traits").alias("trait", "v")).select("seq", "trait", "v.present", F.round("v.probability", 6).alias("probability"), "v.source")
 
 
-@query("agg_11_errors", _EVD, f"select row_number() over (order by seq) as position, seq || ': ' || f as error from (select seq, {_FAULT} f from (select distinct seq from test_evidence)) where f is not null")
-def _(e):
-    """All errors in input order, as numbered rows: their number is not bounded, so they are not joined into one text."""
-    d = A.decoded(_recorded(e.select("seq").distinct())).withColumn("err", A.response_error()).filter("err is not null").select("seq", "err")
-    ordered = numbered(d.repartitionByRange("seq").sortWithinPartitions("seq"), "position")
-    return ordered.select("position", F.concat(F.col("seq").cast("string"), F.lit(": "), "err").alias("error"))
-
-
 # -- discovery ---------------------------------------------------------------------------------
 _SRC = "source_files"
 _LANG = r"case lower(regexp_extract(path, '(\.[^./]*)$', 1)) when '.go' then 'go' when '.kt' then 'kotlin' end"
@@ -415,10 +506,18 @@ def _(s):
     return D.candidates(files, exclude=["cmd/**"]).select("file_id", "path", "source_path", "language")
 
 
-@query("src_8_bounded_read", _SRC, "select file_id, recorded_at, case when octet_length(content) > 4194304 then 'file exceeds 4194304 byte limit' end as reason, octet_length(content) n_bytes from source_files where content is not null")
+@query("src_8_bounded_read", _SRC, "select file_id, recorded_at, case when octet_length(content) > 1500 then 'file exceeds 1500 byte limit' end as reason, octet_length(content) n_bytes from source_files where content is not null")
 def _(s):
+    """The bound on a file's bytes, set so low that it divides the files."""
     n = F.octet_length("content")
-    return s.filter("content is not null").select("file_id", "recorded_at", F.when(n > X.FILE_BYTES, f"file exceeds {X.FILE_BYTES} byte limit").alias("reason"), n.cast("bigint").alias("n_bytes"))
+    return s.filter("content is not null").select("file_id", "recorded_at", D.over_long(n, 1500).alias("reason"), n.cast("bigint").alias("n_bytes"))
+
+
+@query("srt_1_files_in_order", _SRC, f"select row_number() over (order by encode(path), encode(source_path)) as position, path, source_path from (select distinct path, source_path from source_files where path is not null and source_path is not null and {_LANG} is not null)")
+def _(s):
+    """Files as a run takes them, numbered in their order."""
+    files = s.filter("path is not null and source_path is not null").filter(D.language(F.col("path")).isNotNull()).select("path", "source_path").distinct()
+    return numbered(D.in_order(files), "position").select("position", "path", "source_path")
 
 
 _GLOB_SQL = {"*_test.go": "regexp_matches(path, '^(.*/)?[^/]*_test\\.go$')", "pkg/**": "regexp_matches(path, '^(.*/)?pkg(/.*)?$')", "**/*Spec.kt": "regexp_matches(path, '^(.*/)?[^/]*Spec\\.kt$')", "cmd/*/[a-m]*_test.go": "regexp_matches(path, '^(.*/)?cmd/[^/]*/[a-m][^/]*_test\\.go$')", "internal/*.go": "regexp_matches(path, '^(.*/)?internal/[^/]*\\.go$')"}
@@ -456,7 +555,31 @@ def _(s):
     return stage.skipped(stage.extracted(s.select("path", D.language(F.col("path")).alias("language"), "content")))
 
 
-@query("gen_6_interval", _SRC, "select file_id, recorded_at, len(path) between 30 and 50 as inside from source_files where path is not null")
+@query(
+    "gen_1_12_known_tests", "source_files,test_evidence",
+    """select distinct repository, path, qualified from test_evidence where repository is not null and qualified not like '%/%'
+and (repository, path) in (select repository, path from source_files where content is not null)""",
+)
+def _(s, e):
+    """The tests of the evidence table that the extractors find in the files: all whose file is there."""
+    from attestry.extract import stage
+
+    files = s.select(F.concat_ws("\n", "repository", "path").alias("path"), D.language(F.col("path")).alias("language"), "content")
+    found = stage.extracted(files).filter("error is null").select(F.col("path").alias("at"), "qualified").distinct()
+    known = e.filter("repository is not null and qualified not like '%/%'").select("repository", "path", "qualified", F.concat_ws("\n", "repository", "path").alias("at")).distinct()
+    return known.join(found, ["at", "qualified"], "left_semi").select("repository", "path", "qualified")
+
+
+_MARKED = r"length(regexp_replace(regexp_extract({0}, '^([\s\S]*?)(?:^|{1})(?:<<<<<<< )', 1), '[^`]', '', 'g')) % 2 = 0 and regexp_matches({0}, '(?:^|{1})<<<<<<< ')"
+
+
+@query("gen_15_conflicts", _SRC, "select distinct file_id from source_files where content is not null and ends_with(lower(path), '.go') and " + _MARKED.format("cast(content as varchar)", r"\\x0A"))
 def _(s):
-    span = F.array(F.struct(F.lit(30).alias("a"), F.lit(50).alias("b")))
-    return s.filter("path is not null").select("file_id", "recorded_at", F.exists(span, lambda x: F.char_length("path").between(x["a"], x["b"])).alias("inside"))
+    """Go files with a merge conflict's marker at the start of a line, outside a raw string: every one is skipped for its syntax."""
+    from attestry.extract import stage
+
+    text = F.decode("content", "ISO-8859-1")
+    before = F.regexp_extract(text, r"^([\s\S]*?)(?:^|\n)(?:<<<<<<< )", 1)
+    marked = text.rlike(r"(?:^|\n)<<<<<<< ") & (F.char_length(F.regexp_replace(before, "[^`]", "")) % 2 == 0)
+    files = s.filter("content is not null").filter(marked).select(F.col("file_id").cast("string").alias("path"), D.language(F.col("path")).alias("language"), "content")
+    return stage.skipped(stage.extracted(files.filter("language = 'go'"))).select(F.col("path").cast("bigint").alias("file_id")).distinct()

@@ -1,5 +1,6 @@
 """The core: queries against SQL by value, and units of discovery, extraction, responses, evaluation and the CLI."""
 
+import decimal
 import glob
 import http.server
 import io
@@ -8,7 +9,6 @@ import os
 import threading
 
 import duckdb
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,22 +22,26 @@ from attestry.operators import discovery as D
 from attestry.operators import evaluate as V
 from attestry.operators import report as R
 from attestry.operators import responses as A
-from attestry.plans import catalog
+from attestry import questions
+from attestry.plans import cases, catalog
 from attestry.runtime import hot_keys, join_hot, measured
 from attestry.sources import records
 
 
 def cell(x):
-    if x is None or isinstance(x, float) and x != x or type(x).__name__ == "NaTType":
+    """A value to compare: null, NaN and numbers are told apart, kinds of numbers are not."""
+    if x is None:
         return None
-    if isinstance(x, bool | np.bool_ | int | float | np.number):
+    if isinstance(x, float) and x != x:
+        return "NaN"
+    if isinstance(x, bool | int | float | decimal.Decimal):
         return round(float(x), 6)
     return str(x)
 
 
-def values(pdf):
-    pdf = pdf[sorted(pdf.columns)].astype(object)
-    return sorted((tuple(map(cell, r)) for r in pdf.itertuples(index=False)), key=str)
+def values(names, rows):
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    return [names[i] for i in order], sorted((tuple(cell(r[i]) for i in order) for r in rows), key=str)
 
 
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
@@ -49,9 +53,8 @@ def test_query_equals_sql(spark, sf, name):
     con = duckdb.connect()
     for f in glob.glob(f"{sf}/*.parquet"):
         con.execute(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
-    want = con.execute(catalog.oracle_sql()[name]).df()
-    assert sorted(got.columns) == sorted(want.columns)
-    assert values(got.toPandas()) == values(want)
+    want = con.execute(catalog.oracle_sql()[name])
+    assert values(got.columns, got.collect()) == values([d[0] for d in want.description], want.fetchall())
 
 
 # -- discovery -----------------------------------------------------------------------------------
@@ -86,8 +89,28 @@ def test_discovery(spark, tmp_path):
     assert twice.filter("path like '%order_test.go'").select("path").collect()[0][0] == "pkg/order_test.go" and twice.filter("path like '%dep_test.go'").count() == 1
     with pytest.raises(FileNotFoundError):
         D.list_files(spark, [root + "/none"])
-    read, skipped = D.read_files(D.candidates(D.list_files(spark, [root])), most=5)
-    assert read.count() == 0 and skipped.count() == 4
+    read = D.read_files(D.candidates(D.list_files(spark, [root])), most=5)
+    assert {(r.content, r.reason) for r in read.collect()} == {(None, "file exceeds 5 byte limit")} and read.count() == 4
+
+
+def test_listing_by_tasks(spark, tmp_path, monkeypatch):
+    """Exact names (hidden ones, glob signs, blanks), links not followed, subtrees by tasks, unreadable files skipped."""
+    monkeypatch.setattr(D, "FRONTIER", 2)
+    names = ["a/[x]/{y}_test.go", "a/b/c/_under_test.go", "a/b/.hidden/d e_test.go", "Z_test.go", "a/*_test.go", "b/gone_test.go", "a/build/no_test.go", "skip/s_test.go"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text("package p\n")
+    (tmp_path / "b/link").symlink_to(tmp_path / "a")
+    listed = D.list_files(spark, [str(tmp_path)], ["skip"])
+    assert sorted(r.path for r in listed.collect()) == sorted(set(names) - {"a/build/no_test.go", "skip/s_test.go"})
+    ordered = D.in_order(D.candidates(listed))
+    assert [r.path for r in ordered.collect()] == sorted(set(names) - {"a/build/no_test.go", "skip/s_test.go"})
+    kept = listed.collect()
+    (tmp_path / "b/gone_test.go").unlink()
+    read = D.read_files(spark.createDataFrame(kept, listed.schema))
+    assert [(r.path, r.reason) for r in read.collect() if r.content is None] == [("b/gone_test.go", "read: No such file or directory")]
+    one = D.list_files(spark, [str(tmp_path / "Z_test.go")]).first()
+    assert one.path == str(tmp_path / "Z_test.go") and one.length == 10
 
 
 # -- evidence ------------------------------------------------------------------------------------
@@ -340,7 +363,11 @@ def test_records_and_evaluator(spark, tmp_path):
     a = V.acceptance(rows, 0.5, 0.5).first()
     assert (a.records, a.accepted, a.accepted_correct, a.coverage) == (3, 2, 2, 2 / 3) and V.acceptance(rows, -1, 0.5).first().accepted == 0
     assert V.kappa(rows.filter("id <> 'b'")).first().kappa == 1.0 and V.kappa(rows.limit(0)).first().kappa == 0.0
-    assert V.report(rows, 0.5, 0.5).count() > 10
+    text = V.report_text(rows, 0.5, 0.5)
+    assert text.startswith("records: 3\nreviewer_cohens_kappa: 0.000\nmacro_f1: 0.400\nprimary:\n  smoke precision=0.000 recall=0.000 f1=0.000\n  unit precision=0.667 recall=1.000 f1=0.800\ntraits:\n  fuzz precision=0.000 recall=0.000 f1=0.000\n")
+    assert "confusion_matrix:\n  smoke -> unit: 1\n  unit -> unit: 2\naccepted_coverage: 0.667\naccepted_accuracy: 1.000\nby_language:\n  go accuracy=0.667 n=3\n" in text and text.endswith("by_split:\n  development accuracy=0.667 n=3\n")
+    s = V.summary(rows, 0.5, 0.5)
+    assert abs(s["macro_f1"] - V.macro_f1(rows).first()[0]) < 1e-12 and abs(s["kappa"] - V.kappa(rows).first().kappa) < 1e-12 and V.summary(rows.limit(0))["kappa"] == 0.0
     for bad, why in ((json.dumps(record(split="x")), "line 1: split"), ("", "line 1"), (json.dumps(record(model=" ")), "line 1: blank model"), ('{"confidence": "1"}', "line 1: wrong type of confidence"), (json.dumps(record()) + " x", "line 1")):
         path.write_text(bad + "\n" + json.dumps(record()) + "\n")
         with pytest.raises(ValueError, match=why):
@@ -357,14 +384,79 @@ def test_report_text(spark):
     assert R.render_skipped(s) == "SKIPPED FILES\n  a_test.go: bad syntax\n  b_test.go: boom\n" and R.render_skipped(s.limit(0)) == ""
 
 
-def test_cli(spark, tmp_path):
+def test_cli(spark, tmp_path, monkeypatch, capsys):
     (tmp_path / "a_test.go").write_text("package p\n\nfunc TestA(t *testing.T) {}\n")
     (tmp_path / "b_test.go").write_text("package p\n\nfunc TestB(t *testing.T) {\n")
-    (tmp_path / "answers.json").write_text(json.dumps({"test_id": "a_test.go::TestA", "response": json.dumps(answer())}) + "\n")
+    recorded = tmp_path / "answers.json"
+    lines = [{"test_id": "a_test.go::TestA", "response": "old"}, {"test_id": "a_test.go::TestA", "response": json.dumps(answer())}]
+    recorded.write_text("\n".join(map(json.dumps, lines)) + "\n")
     out, err = io.StringIO(), io.StringIO()
-    assert cli.classify(spark, [str(tmp_path)], str(tmp_path / "answers.json"), limits=(0.5, 0.2), out=out, err=err) == 1
+    assert cli.classify(spark, [str(tmp_path)], str(recorded), limits=(0.5, 0.2), out=out, err=err) == 1
     assert out.getvalue().split("\n")[1].split() == ["unit", ",".join(sorted(X.ASKED)), "0.90", "accept", "a_test.go::TestA"] and "b_test.go: parse" in err.getvalue()
-    assert cli.main(["classify", "--recorded", "x", "--min-confidence", "0.5"]) == 2 and cli.main(["classify", "--recorded", "x", "--min-confidence", "2", "--min-margin", "0.5"]) == 2 and cli.main(["nothing"]) == 2
+    for argv in (
+        ["classify", "--recorded", "x", "--min-confidence", "0.5"], ["classify", "--recorded", "x", "--min-confidence", "2", "--min-margin", "0.5"], ["nothing"], ["classify"], ["classify", "--recorded", "x", "--remote"],
+        ["classify", "--recorded", "x", "--concurrency", "0"], ["classify", "--recorded", "x", "--timeout", "0s"], ["classify", "--recorded", "x", "--format", "json"], ["classify", "--remote"], ["evaluate"],
+    ):
+        assert cli.main(argv) == 2, argv
+    a = cli.parsed(["classify", "p", "--include", "x", "q", "--recorded", "f", "r", "--timeout", "1m30s"])
+    assert (a.paths, a.include, a.recorded, a.timeout) == (["p", "q", "r"], ["x"], "f", 90.0)
+    monkeypatch.setenv(cli.KEY_VARIABLE, "k")
+    monkeypatch.setenv(cli.URL_VARIABLE, "http://127.0.0.1:9")
+    assert cli.main(["classify", "--remote", "--model", "m-latest"]) == 2
+
+
+def test_cli_skipped_files_and_no_tests(spark, tmp_path):
+    (tmp_path / "answers.json").write_text("")
+    (tmp_path / "none").mkdir()
+    run = lambda p, out, err: cli.classify(spark, [str(p)], str(tmp_path / "answers.json"), out=out, err=err)
+    out, err = io.StringIO(), io.StringIO()
+    assert run(tmp_path / "none", out, err) == 0 and err.getvalue() == "no tests found\n" and out.getvalue().split() == ["TYPE", "TRAITS", "CONF", "STATUS", "TEST"]
+    (tmp_path / "none/a_test.go").write_text("package p\nx := := 1\n")
+    out, err = io.StringIO(), io.StringIO()
+    assert run(tmp_path / "none", out, err) == 1 and err.getvalue().startswith("SKIPPED FILES\n  a_test.go: parse a_test.go: expected declaration")
+    (tmp_path / "none/b_test.go").write_text("package p\nfunc TestB(t *testing.T) {}\n")
+    out, err = io.StringIO(), io.StringIO()
+    assert run(tmp_path / "none", out, err) == 1 and "b_test.go::TestB: " in err.getvalue() and "SKIPPED FILES" in err.getvalue() and out.getvalue() == ""
+
+
+class Always(http.server.BaseHTTPRequestHandler):
+    def do_POST(self):
+        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        assert set(body) == {"model", "state", "questions"} and len(body["questions"]) == 1 + len(X.ASKED)
+        self.send_response(200)
+        self.end_headers()
+        self.wfile.write(json.dumps(answer()).encode())
+
+    def log_message(self, *_):
+        pass
+
+
+def test_cli_asks_a_service(spark, tmp_path):
+    (tmp_path / "a_test.go").write_text("package p\n\nfunc TestA(t *testing.T) {}\n")
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Always)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    out, err = io.StringIO(), io.StringIO()
+    assert cli.classify(spark, [str(tmp_path)], provider=A.HttpProvider(f"http://127.0.0.1:{server.server_port}", "k", "m-1"), out=out, err=err) == 0
+    server.shutdown()
+    assert err.getvalue() == cli.NOTICE + "\n" and "a_test.go::TestA" in out.getvalue()
+
+
+def test_question_set():
+    q = json.loads(questions.questions_json())
+    assert list(q) == ["primary_type", *(f"trait_{t}" for t in X.ASKED)] and set(q["primary_type"]["criteria"]) == set(X.PRIMARY)
+    assert {x["type"] for k, x in q.items() if k != "primary_type"} == {"noul"} and all(set(x["criteria"]) == {"true", "false"} for k, x in q.items() if k != "primary_type")
+    assert list(questions.question_set(("database", "odd"))) == ["primary_type", "trait_database"]
+
+
+def test_error_text():
+    for body, want in [(b'{"error": {"message": "slow down"}}', "slow down"), (b'{"error": "no", "message": "yes"}', "no"), (b'{"error": 3, "message": "yes"}', "yes"), (b" plain ", "plain"), (b"x" * 500, "x" * 200), (b"", ""), ("\u00e9".encode() * 150, "\u00e9" * 100)]:
+        assert A.error_text(body) == want
+
+
+def test_stored_answers(spark):
+    df = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(cases.RESPONSES)], "seq long, response string")
+    got = {r.seq: r.response_error for r in A.decoded(df).withColumn("response_error", A.response_error()).collect()}
+    assert [got[i] for i in range(len(cases.RESPONSES))] == [e for _, e in cases.RESPONSES]
 
 
 def test_cli_reports_every_faulty_answer(spark, tmp_path):
@@ -372,7 +464,7 @@ def test_cli_reports_every_faulty_answer(spark, tmp_path):
     (tmp_path / "answers.json").write_text("".join(json.dumps({"test_id": f"a_test.go::Test{i:02}", "response": "no"}) + "\n" for i in range(26)))
     out, err = io.StringIO(), io.StringIO()
     assert cli.classify(spark, [str(tmp_path)], str(tmp_path / "answers.json"), out=out, err=err) == 1
-    assert [x.split(":: ")[0].split(": ")[0] for x in err.getvalue().splitlines()] == [f"a_test.go::Test{i:02}" for i in range(1, 26)]
+    assert [x.split(":: ")[0].split(": ")[0] for x in err.getvalue().splitlines()] == [f"a_test.go::Test{i:02}" for i in range(25, 0, -1)]  # in the order of the file
 
 
 def test_stream(spark, tmp_path):
@@ -387,7 +479,8 @@ def test_stream(spark, tmp_path):
 
 @pytest.mark.parametrize("name", ["agg_2_class_metrics", "agg_4_trait_metrics", "agg_5_slices", "agg_8_kappa", "prj_8_merged_features", "src_4_set_1_candidates"])
 def test_partitions_do_not_matter(spark, sf, name, monkeypatch):
-    want = values(catalog.queries()[name](spark, sf).toPandas())
+    of = lambda df: values(df.columns, df.collect())
+    want = of(catalog.queries()[name](spark, sf))
     for n in (1, 3):
         monkeypatch.setattr("attestry.plans.catalog.table", lambda s, d, t, n=n: s.read.parquet(f"{d}/{t}.parquet").repartition(n))
-        assert values(catalog.queries()[name](spark, sf).toPandas()) == want
+        assert of(catalog.queries()[name](spark, sf)) == want
