@@ -2,10 +2,16 @@
 
 Method: forced-boundary splitting. From the vocabulary file a 256 x 256 table is made of the
 byte pairs that occur inside any token. A pair that occurs in none marks a certain token
-boundary. Of those boundaries only the ones that the vocabulary's word pattern cannot see
-across are used (a cut must not change how the pattern splits either side): a character
-that is not white followed by ASCII white space. Where a pair with a byte beyond ASCII does
-occur in a token, a text that holds the pair is cut after ASCII characters only.
+boundary. A text is cut there if the cut cannot change how the vocabulary's word pattern splits
+either side:
+
+* before ASCII white space that follows a character that is not white. Where a pair with a byte
+  beyond ASCII does occur in a token, a text that holds the pair is cut after ASCII characters only.
+* in what is left longer than LONG characters (embedded data, minified code, prose without
+  blanks), between two characters neither of which is white. The pattern looks beyond a word
+  only across white space, so a cut elsewhere is seen only by a word that begins there: one
+  that the second side begins with an apostrophe might be taken for a contraction, and is not cut;
+  any other is cut in the whole text as well, or is the rest of a word that no merge joins.
 
 Fragments are encoded independently, remembered per worker, and concatenated. Texts are
 never cut anywhere else, so the ids equal those of encoding the whole text.
@@ -84,6 +90,13 @@ class FragmentEncoder(dict):
         self.doubtful = [bytes([b]) + c.encode() for c in cut for b in range(128, 256) if inside[b, ord(c)]]
         keep = "".join(c for c in ASCII_WHITE if c not in cut) + WHITE[len(ASCII_WHITE):]
         self.fragments = re.compile(f"[{WHITE}]*(?:[^{WHITE}]+(?:[{keep}][{WHITE}]*)?)+|[{WHITE}]+").findall
+        #: Pairs between which a run without white space may be cut.
+        self.safe = ~inside
+        white = [ord(c) for c in ASCII_WHITE]
+        self.safe[white, :] = self.safe[:, white] = False
+        self.safe[:, 0x80:0xC0] = False  # a character's later bytes
+        self.safe[:, ord("'")] = False
+        self.white = re.compile(f"[{WHITE}]").search
         self.careful = re.compile(f"(?<=[{re.escape(''.join(map(chr, dark)))}])(?=[{cut}])" if cut else "(?!)").split
 
     def __missing__(self, fragment: str) -> list[int]:
@@ -96,6 +109,24 @@ class FragmentEncoder(dict):
         return ids
 
     def long(self, fragment: str) -> list[int]:
+        out: list[int] = []
+        for piece in self.split(fragment):
+            out += self[piece] if len(piece) <= LONG else self.whole(piece)
+        return out
+
+    def split(self, fragment: str) -> list[str]:
+        """A fragment of which only the beginning may be white, cut at all safe pairs."""
+        visible = fragment.lstrip(WHITE)
+        if self.white(visible):
+            return [fragment]
+        raw = visible.encode()
+        lead = fragment[: len(fragment) - len(visible)].encode()
+        at = np.frombuffer(raw, np.uint8)
+        ends = [0, *(np.flatnonzero(self.safe[at[:-1], at[1:]]) + (1 + len(lead))).tolist(), len(lead) + len(raw)]
+        raw = lead + raw
+        return [raw[a:b].decode() for a, b in zip(ends, ends[1:])]
+
+    def whole(self, fragment: str) -> list[int]:
         """Runs of white space beyond the library's stack are handed to it as the one word they are,
 
         less their last character if a word follows, as the word pattern has it.
@@ -107,6 +138,11 @@ class FragmentEncoder(dict):
             at = end
         return out + self.encode(fragment[at:])
 
+    def pieces(self, text: str) -> Iterator[str]:
+        """What is encoded by itself, in order."""
+        for fragment in self.cuts(text):
+            yield from self.split(fragment) if len(fragment) > LONG else (fragment,)
+
     def cuts(self, text: str) -> list[str]:
         if self.doubtful:
             raw = text.encode()
@@ -183,5 +219,29 @@ def p6_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p6_ids": p6_ids, "p6_length_histogram": p6_length_histogram}
+def cut_report(df: DataFrame, group: str = "lang", text: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """Per value of group: documents, bytes, pieces encoded by themselves, bytes in pieces beyond LONG, and the longest piece's bytes."""
+    raw = _vocabulary(df.sparkSession, vocabulary)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(raw.value)
+        for batch in it:
+            rows = []
+            for t in batch.column(1).to_pylist():
+                sizes = [len(p.encode()) for p in enc.pieces(t)] if t else []
+                rows.append((sum(sizes), len(sizes), sum(n for n in sizes if n > LONG), max(sizes, default=0)))
+            columns = zip(*rows) if rows else ((),) * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=[group, "n_bytes", "n_pieces", "n_bytes_long", "longest"])
+
+    schema = T.StructType([df.schema[group], *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_pieces", "n_bytes_long", "longest"))])
+    each = spread(df.select(group, text)).mapInArrow(batches, schema)
+    sums = [F.sum(c).alias(c) for c in ("n_bytes", "n_pieces", "n_bytes_long")]
+    return each.groupBy(group).agg(F.count("*").alias("n_docs"), *sums, F.max("longest").alias("longest"))
+
+
+def p6_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p6_ids": p6_ids, "p6_cuts": p6_cuts, "p6_length_histogram": p6_length_histogram}
 SQL: dict[str, str] = {}

@@ -28,6 +28,30 @@ def test_fragments_equal_whole_texts():
         assert e.count(text) == len(e.encode(text))
 
 
+def test_safe_pairs_in_runs_without_white_space():
+    """Long runs of every kind of character, contractions and vocabulary tokens side by side, against whole texts."""
+    e = encoding.FragmentEncoder(raw_vocabulary())
+    r = random.Random(4)
+    tokens = [t for t in (b.decode("utf-8", "ignore") for b in encoding.read_ranks(raw_vocabulary())) if t and not e.white(t)]
+    kinds = ["abcdefghijklmnopqrstuvwxyz", "ABCXYZqxzjQ", "0123456789", "'\"!?.,;:/\\(){}[]=+-*", "éüßøåđłшкты", "日本語の文字列漢字中文한국어", "🙂🤖\u0301\u200d\ufe0f", "٠١٢३४"]
+    for k in range(3000):
+        if k % 3:
+            text = "".join(r.choice(r.choice(kinds)) for _ in range(r.randint(33, 120)))
+        else:
+            text = "".join(r.choice(tokens) if r.random() < 0.7 else r.choice(["'s", "'re", "'ll", "'x", "'", "1"]) for _ in range(r.randint(12, 40)))
+        text = r.choice(["", " ", "\n", "x "]) + text
+        assert list(e.ids(text)) == e.encode(text)
+        assert "".join(e.pieces(text)) == text
+    data = "".join(r.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(20_000))
+    assert list(e.ids(data)) == e.encode(data) and max(map(len, e.pieces(data))) < 200
+
+
+def test_cut_report(spark):
+    df = spark.createDataFrame([("a", None), ("a", ""), ("b", "x" * 10 + " " + "aB3" * 100)], "lang string, text string")
+    rows = {r.lang: r for r in encoding.cut_report(df).collect()}
+    assert (rows["a"].n_docs, rows["a"].n_pieces, rows["a"].longest) == (2, 0, 0) and rows["b"].n_bytes == 311 and rows["b"].longest <= 10 and rows["b"].n_bytes_long == 0
+
+
 def test_white_space_beyond_the_librarys_stack():
     e = encoding.FragmentEncoder(raw_vocabulary())
     text = "a" + " " * 300_000 + "b" + "\n" * 5_000
