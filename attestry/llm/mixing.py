@@ -4,7 +4,8 @@ Method: Poisson replication. The mean number of copies of a source's documents i
 of the total over its size. Each document gets a number of copies by inverting a Poisson
 distribution at a uniform value hashed from seed, id and text; the distribution is cut at the
 source's cap and its parameter is set so that the mean *after* the cut is the wanted one.
-Copies are exploded and shuffled globally by a hash, without a sampling pass.
+Copies are exploded and shuffled globally: sorted by a hash over all partitions, whose ranges are known
+beforehand, so there is no sampling pass.
 
 The total is by default the largest at which every source that has documents can have its
 weight (weights are shared out over those sources) within its cap. With a larger ``total``
@@ -33,6 +34,10 @@ from attestry.runtime import materialize, table
 MAX_TARGETS = 10_000
 
 
+#: Tokens wanted in a partition of the mixture: some 50 MB of text.
+PARTITION_TOKENS = 16_000_000
+
+
 @dataclass(frozen=True)
 class Rate:
     source: str
@@ -127,7 +132,7 @@ def source_sizes(sizes: DataFrame, targets: list[tuple[str, float, int]]) -> dic
 
 
 def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 20240607, vocabulary: str | None = None) -> DataFrame:
-    """(position, doc_id, source, copy, text) in shuffled order; position sorts the whole mixture."""
+    """(position, doc_id, source, copy, text) in shuffled order: sorted by position over all partitions."""
     spark = documents.sparkSession
     wanted = _targets(targets)
     docs = documents.select("doc_id", trimmed(F.col("source")).alias("source"), "text")
@@ -140,7 +145,11 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, se
     drawn = _copies(spark, docs.withColumn("_u", _uniform(seed, "doc_id", "text")), rates).filter("n_copies > 0")
     out = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     out = out.select(F.xxhash64(F.lit(seed + 1), "doc_id", "copy").alias("position"), "doc_id", "source", "copy", "text")
-    return out.repartition("position").sortWithinPartitions("position")
+    # positions are hashes, evenly spread over all bigints, so the ranges need no sample: partition i holds the i-th part of them
+    tokens = sum(r.size * r.mean for r in rates)
+    parts = max(spark.sparkContext.defaultParallelism, math.ceil(tokens / PARTITION_TOKENS))
+    part = F.least(F.floor((F.col("position").cast("double") / float(1 << 64) + 0.5) * parts).cast("int"), F.lit(parts - 1))
+    return out.repartitionById(parts, part).sortWithinPartitions("position", "doc_id", "copy")
 
 
 def shares(documents: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 20240607, vocabulary: str | None = None) -> DataFrame:

@@ -92,6 +92,8 @@ def test_mixture_keeps_caps_and_shares(spark):
     per = mixed.groupBy("source", "doc_id").count().groupBy("source").max("count").collect()
     assert {r[0]: r[1] for r in per}["big"] == 1
     assert mixing.mix(docs.limit(0), targets).count() == 0
+    places = [r.position for r in mixed.select("position").collect()]
+    assert places == sorted(places) and mixed.rdd.getNumPartitions() > 1
 
 
 # -- p5 ------------------------------------------------------------------------------------------
