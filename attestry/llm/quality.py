@@ -18,6 +18,9 @@ repeated doc_id adds up to one document; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,14 +90,23 @@ FEATURES = {
     "distinct_lines": r"size(array_distinct(split(b, '\n'))) / lines",
     "failures": r"(size(split(b, 'Traceback|Stacktrace|Error|---->|, line [0-9]')) - 1) / lines",
 }
+#: Signs without which a statistic is 0: looked for first, as most blocks have none of them.
+NEEDED = {
+    "cells": ("|", "\\", "</t", "<t"), "gaps": ("  ", "\t"), "stamps": (":",), "tags": ("<", ">"), "pair_share": (": ", " - ", "==", " = "), "heading_share": ("# ",),
+}
 ORDER = ("junk", "table", "list")
 ORDERS = [("junk", "table", "list"), ("list", "junk", "table"), ("table", "junk", "list")]
 
 
-def with_statistics(blocks: DataFrame) -> DataFrame:
-    """blocks with column b, which must hold a character that is not blank, plus COUNTS and FEATURES."""
-    counted = blocks.withColumns({k: F.expr(v) for k, v in COUNTS.items()})
-    return counted.withColumns({k: F.expr(f"cast({v} as double)") for k, v in FEATURES.items()})
+def _where_needed(name: str, value):
+    signs = [F.contains(F.col("b"), F.lit(x)) for x in NEEDED.get(name, ())]
+    return F.when(reduce(or_, signs), value).otherwise(F.lit(0)) if signs else value
+
+
+def with_statistics(blocks: DataFrame, n=None) -> DataFrame:
+    """blocks with column b, which must hold a character that is not blank, plus COUNTS and FEATURES. n: the count of this name, if known."""
+    counted = blocks.withColumns({k: n if k == "n" and n is not None else _where_needed(k, F.expr(v)) for k, v in COUNTS.items()})
+    return counted.withColumns({k: _where_needed(k, F.expr(v)).cast("double") for k, v in FEATURES.items()})
 
 
 _fitted: dict[tuple, list[Rule]] = {}
@@ -175,7 +187,7 @@ def judged_blocks(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     rules = fitted_rules(documents.sparkSession)
     sized = blocks_of(documents, key).withColumn("size", F.expr(COUNTS["n"]))
     # code is of no kind whatever its statistics: they are taken of a letter in its place
-    judged = with_statistics(sized.withColumn("b", F.when(F.col("role") == CODE, "x").otherwise(F.col("b"))))
+    judged = with_statistics(sized.withColumn("b", F.when(F.col("role") == CODE, "x").otherwise(F.col("b"))), F.when(F.col("role") == CODE, 1).otherwise(F.col("size")))
     return judged.withColumn("kind", F.when(F.col("role") == CODE, "none").otherwise(F.expr(case_expression(rules, "none"))))
 
 
